@@ -65,15 +65,17 @@ def hierarchy(edges: DataFrame, edge_type: str = "derives", with_path: bool = Tr
     hot = scratch.write(children.where(F.col("n") > hot_children).select("parent", F.ceil(F.col("n") / hot_children).cast("int").alias("fan")), "hot")
     is_hot = hot.limit(1).count() > 0
 
+    keys = ["parent", "salt"] if is_hot else ["parent"]  # a constant salt would be folded away and with it the match of the buckets
+
     def salted(df: DataFrame, key: str, salt) -> DataFrame:
-        if not is_hot:  # the common case: no column for it
-            return df.withColumn("salt", F.lit(0))
+        if not is_hot:
+            return df
         named = hot.withColumnRenamed("parent", key)
         return df.join(named, key, "left").withColumn("salt", salt(F.coalesce("fan", F.lit(1)))).drop("fan")
 
     name = f"normloom_links_{uuid.uuid4().hex[:12]}"
     by_parent = salted(real, "parent", lambda fan: F.pmod(F.xxhash64("child"), fan).cast("int"))
-    by_parent.repartition(buckets, "parent", "salt").write.bucketBy(buckets, "parent", "salt").format("parquet").option("path", scratch.path("by-parent")).saveAsTable(name)
+    by_parent.repartition(buckets, *keys).write.bucketBy(buckets, *keys).format("parquet").option("path", scratch.path("by-parent")).saveAsTable(name)
     down = spark.table(name)
 
     parents = real.select(F.col("parent").alias("node")).distinct()
@@ -85,7 +87,7 @@ def hierarchy(edges: DataFrame, edge_type: str = "derives", with_path: bool = Tr
     while frontier.limit(1).count():
         depth += 1
         above = salted(frontier.select(F.col("node").alias("parent"), "root", *(["path"] if with_path else [])), "parent", lambda fan: F.explode(F.sequence(F.lit(0), fan - 1)))
-        found = down.join(above, ["parent", "salt"]).select(
+        found = down.join(above, keys).select(
             F.col("child").alias("node"), "root", F.lit(depth).alias("depth"), *([F.concat("path", F.array("child")).alias("path")] if with_path else [])
         )
         frontier = scratch.write(found, f"levels/at={depth}")
