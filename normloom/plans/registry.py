@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from normloom.plans import training
+from normloom.plans import reference, training
 
 
 def _modules() -> list:
-    return [training]
+    return [reference, training]
 
 
 def queries() -> dict:
