@@ -142,9 +142,11 @@ def to_instants(
     'absent' (null or blank). day_first states that numeric dates with the year last have the day first, so the other
     reading has no weight; without it the source's own mixture decides. The zone or offset in the value decides, else
     the hint, else default_zone; a zone name in the value that doesn't exist makes it unusable, an unknown hint counts as none.
-    Wall times skipped by daylight saving move forward by the gap, repeated ones mean the earlier instant.
+    Wall times skipped by daylight saving move forward by the gap, repeated ones mean the earlier instant. Columns of df that
+    have the names of the added ones are replaced.
     """
     spark = df.sparkSession
+    df = df.drop("fmt", "posterior", "status", "utc_micros")
     read = with_candidates(df, value).withColumn("_key", F.array_join(F.transform("_cands", lambda c: c["fmt"]), "|"))
     read = Scratch(spark, "instants").write(read, "read")  # each value is read once, for the counts and for the result
     seen = read.where(F.trim(F.col(value)) != "").groupBy(source, "_key").agg(F.count("*").alias("n")).collect()  # at most sources x candidate sets

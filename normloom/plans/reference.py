@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from normloom.functions import text as X
 from normloom.functions import tiers, vectors
 from normloom.functions import validity as V
-from normloom.operators import evals, findings, graph, ingest, reports, search
+from normloom.operators import detect, evals, findings, graph, ingest, parsing, reports, search
 from normloom.operators import validity as fold
 from normloom.plans import domain as D
 from normloom.plans.session import table
@@ -615,6 +615,54 @@ def det_embed(spark, sf):
     return d.select("doc_id", X.embedder(32)("text").alias("embedding"))
 
 
+def _pairs(spark, sf) -> DataFrame:
+    c = D.corpus(spark, sf).where("embedding is not null").select(F.col("section_id").alias("id"), "embedding", "validity_status", "text")
+    found = detect.rerank(detect.candidates(c.where("id % 20 = 0"), c, k=5), k=5)
+    return found, c
+
+
+_CAND = """, c AS (SELECT section_id AS id, embedding, validity_status FROM corp WHERE embedding IS NOT NULL), r AS (SELECT s.id AS source_id, t.id AS target_id, row_number() OVER (PARTITION BY s.id ORDER BY round(list_cosine_distance(s.embedding, t.embedding), 9), t.id) AS place
+  FROM c s JOIN c t ON t.validity_status IN ('in_force', 'amended') WHERE s.id % 20 = 0)"""
+
+
+@query(f"{_CAND} SELECT source_id, target_id, place AS final_place, round(1 - 0.1 * (place - 1), 6) AS rank_score FROM r WHERE place <= 5")
+def candidate_rerank(spark, sf):
+    found, _ = _pairs(spark, sf)
+    return found.select("source_id", "target_id", "final_place", F.round("rank_score", 6).alias("rank_score"))
+
+
+@query(f"{_CAND} SELECT source_id, target_id, 'satisfies' AS edge_type, 0.85::DOUBLE AS confidence, 0.95::DOUBLE AS grounding_score FROM r WHERE place <= 5")
+def relation_detect(spark, sf):
+    found, c = _pairs(spark, sf)
+    text = lambda name: c.select(F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_text"))
+    return detect.relations(found.join(text("source"), "source_id").join(text("target"), "target_id"))
+
+
+@query(f"{_CHAIN} SELECT {D.sql_node_corpus('start')} AS corpus_id, count(*) AS n, count(*) FILTER (WHERE depth > 0 AND {D.sql_node_corpus('pos')} IN ('vn-reg', 'my-reg')) AS n_to_law, count(*) FILTER (WHERE depth > 0 AND ok AND {D.sql_node_corpus('pos')} IN ('vn-reg', 'my-reg')) AS n_promoted FROM ends GROUP BY 1", recursive=True)
+def coverage_chains(spark, sf):
+    c = _chains(spark, sf)
+    law = D.node_corpus(F.coalesce(F.get("hops", F.size("hops") - 1)["target"], F.lit(""))).isin("vn-reg", "my-reg")
+    done = F.forall("hops", lambda h: h["promoted"])
+    return c.groupBy(D.node_corpus(F.col("start")).alias("corpus_id")).agg(F.count("*").alias("n"), F.count_if((F.size("hops") > 0) & law).alias("n_to_law"), F.count_if((F.size("hops") > 0) & law & done).alias("n_promoted"))
+
+
+@query(f", {_EV} SELECT target_id AS id, arg_max(event_id, (event_date, event_id)) AS superseded_by FROM ev WHERE kind = 'superseded' GROUP BY 1")
+def superseded_by(spark, sf):
+    return fold.superseding(_events(spark, sf).withColumn("amending_id", F.col("event_id")))
+
+
+@query()
+def vn_parse(spark, sf):
+    d = table(spark, sf, "documents").where("lang = 'vi'")
+    return parsing.sections(d, "vn")
+
+
+@query()
+def my_parse(spark, sf):
+    d = table(spark, sf, "documents").where("lang in ('en', 'ms')")
+    return parsing.sections(d, "my")
+
+
 # --- extensions over events -------------------------------------------------------------------------------------------
 
 
