@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: A boundary ends right after a line break, or after white space that follows one of . ; : ! ?
-BREAK = re.compile(r"(?:\r\n|[\n\r\v\f\x85  ])|(?<=[.;:!?])\s")
+BREAK = re.compile(r"(?:\r\n|[\n\r\v\f\x85\u2028\u2029])|(?<=[.;:!?])\s")
 BLANK = re.compile(r"\s+")
-LINE = "\n\r\v\f\x85  "
+LINE = "\n\r\v\f\x85\u2028\u2029"
 
 
 def boundaries(text: str) -> tuple[list[int], list[int], list[int]]:
