@@ -186,7 +186,7 @@ def quality_of(text: str | None, expects_marks: bool = True) -> dict:
     wide = sum(c.isalpha() and ord(c) > 127 for c in t)
     bad = sum(c == "�" or unicodedata.category(c) == "Cc" and c not in "\n\t\r\f" for c in t)
     blanks = sum(c.isspace() for c in t)
-    private = sum("" <= c <= "" for c in t)
+    private = sum("\ue000" <= c <= "\uf8ff" for c in t)
     moji = sum(c in MOJIBAKE for c in t) if any(c in "ÃÂ€" for c in t) else 0
     cyrillic = sum("Ѐ" <= c <= "ӿ" for c in t)
     out = dict(n_chars=n, letters=letters, wide_letters=wide, bad=bad, blanks=blanks, private_use=private, mojibake=moji, cyrillic=cyrillic)

@@ -33,6 +33,8 @@ SHAPES = {
 #: Readings of a shape other than the one its group numbers give. Each is a format of its own in the mixture.
 FORMATS = ("iso", "numeric_dmy", "numeric_mdy", "vi_long", "vi_clock", "day_name", "name_day", "ymd8", "dmy8", "epoch_s", "epoch_ms")
 NOISE = "noise"
+#: Formats that read the values of a more usual one in another order.
+SECOND_READINGS = {"numeric_mdy": "numeric_dmy", "dmy8": "ymd8"}
 
 
 def known_zones(spark) -> list[str]:
@@ -49,7 +51,7 @@ def _wall(y: Column, mo: Column, d: Column, seconds: Column, micros: Column) ->
 def with_candidates(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds _cands, an array of struct(fmt, wall): each format under which the value is a valid date, wall in microseconds;
     and _zone, the zone or offset that the value itself states. Values are read with runs of white space as one blank."""
-    v = F.trim(F.regexp_replace(F.translate(F.col(value), " 　", "  "), r"\s+", " "))
+    v = F.trim(F.regexp_replace(F.translate(F.col(value), "\u00a0\u3000", "  "), r"\s+", " "))
     df = df.withColumn("_v", v)
     shape = F.when(F.col("_v").rlike(r"^\d{8,13}$"), F.lit("digits"))
     for name, (pattern, _) in SHAPES.items():
@@ -98,11 +100,12 @@ def with_candidates(df: DataFrame, value: str = "value") -> DataFrame:
     return df.drop("_v", "_shape", "_year", "_month", "_day", "_hour", "_minute", "_second", "_fraction", "_half", "_seconds", "_micros", "_m")
 
 
-def fit_mixture(counts: Iterable[tuple[str, str, int]], barred: tuple[str, ...] = (), noise: float = 1e-3, floor: float = 1e-6, rounds: int = 200) -> dict[tuple[str, str], tuple[str, float]]:
+def fit_mixture(counts: Iterable[tuple[str, str, int]], barred: tuple[str, ...] = (), noise: float = 1e-3, floor: float = 1e-9, rounds: int = 200) -> dict[tuple[str, str], tuple[str, float]]:
     """(source, candidate set) -> (format, posterior) from the counts of candidate sets, formats joined by '|'.
 
     Each format spreads its probability evenly over the days, so a valid reading's likelihood is the same under each and the
-    noise component's is smaller by the factor noise. Formats in barred have weight 0. Weights never fall below floor. An
+    noise component's is smaller by the factor noise. Formats in barred have weight 0. Weights never fall below floor. A
+    second reading has a sparse prior: it needs more support than one value and a hundredth of the usual reading's. An
     empty candidate set is noise.
     """
     by_source: dict[str, list[tuple[str, list[str], int]]] = {}
@@ -121,6 +124,9 @@ def fit_mixture(counts: Iterable[tuple[str, str, int]], barred: tuple[str, ...]
                 post[key] = {f: x / whole for f, x in like.items()}
                 for f, p in post[key].items():
                     gained[f] += n * p
+            for rare, usual in SECOND_READINGS.items():  # what hardly any value needs isn't a format of the source
+                if rare in gained:
+                    gained[rare] -= 1 + 0.01 * gained[usual]
             new = {f: max(floor, x / total) for f, x in gained.items()}
             done = max(abs(new[f] - weight[f]) for f in weight) < 1e-9
             weight = new
