@@ -16,7 +16,7 @@ NUMBER = r"([0-9]+(?:/[0-9]{4})?/[A-ZĐ]+(?:[0-9]*-[A-ZĐ0-9]+)*)"
 def document_number(text: Column) -> Column:
     """The first document number of a text, upper case, without outer punctuation; null where there is none."""
     found = F.regexp_extract(F.upper(F.regexp_replace(text, r"\s*([/-])\s*", "$1")), NUMBER, 1)
-    return F.nullif(F.trim(F.lit(".,;:-/ "), found), F.lit(""))
+    return F.nullif(F.trim(found, F.lit(".,;:-/ ")), F.lit(""))
 
 
 FEED = T.StructType([T.StructField("item", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("title", "link", "guid", "pubDate", "description")])))])

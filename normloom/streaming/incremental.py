@@ -75,10 +75,12 @@ def status_stream(events: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     )
 
 
-def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
-    """Counts and sums per window and event type (an extension beyond the engine's own operators)."""
+def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, lateness: str | None = "10 minutes") -> DataFrame:
+    """Counts and sums per window and event type (an extension beyond the engine's own operators). lateness None: the stream has
+    its watermark already."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", lateness).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
+    events = events.withWatermark("ts", lateness) if lateness else events
+    return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", lateness: str = "1 hour") -> DataFrame:
