@@ -82,20 +82,20 @@ def hierarchy(edges: DataFrame, edge_type: str = "derives", with_path: bool = Tr
     tops = parents.join(links.select(F.col("child").alias("node")), "node", "left_anti")
     roots = tops.unionByName(links.where("parent is null").select(F.col("child").alias("node")))
     level = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), *([F.array("node").alias("path")] if with_path else []))
-    frontier = scratch.write(level, "levels/at=0")
+    frontier, n = scratch.write_counted(level, "levels/at=0")
     depth = 0
-    while frontier.limit(1).count():
+    while n:
         depth += 1
         above = salted(frontier.select(F.col("node").alias("parent"), "root", *(["path"] if with_path else [])), "parent", lambda fan: F.explode(F.sequence(F.lit(0), fan - 1)))
         found = down.join(above, keys).select(
             F.col("child").alias("node"), "root", F.lit(depth).alias("depth"), *([F.concat("path", F.array("child")).alias("path")] if with_path else [])
         )
-        frontier = scratch.write(found, f"levels/at={depth}")
+        frontier, n = scratch.write_counted(found, f"levels/at={depth}")
     reached = spark.read.schema(level.schema).parquet(*[scratch.path(f"levels/at={k}") for k in range(depth + 1)])
 
-    stuck = scratch.write(real.join(reached.select(F.col("node").alias("child")), "child", "left_anti"), "stuck")
+    stuck, n = scratch.write_counted(real.join(reached.select(F.col("node").alias("child")), "child", "left_anti"), "stuck")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    if not stuck.limit(1).count():
+    if not n:
         return reached
     lost = _cycles(scratch, stuck).select("node", "root", F.lit(-1).alias("depth"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else []))
     return reached.unionByName(lost)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normloom.functions.text import html_text
+from normloom.plans.session import spread
 
 
 @dataclass
@@ -345,4 +346,4 @@ def sections(docs: DataFrame, grammar: str, key: str = "doc_id", text: str = "te
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col(key), F.col(text)).mapInPandas(run, schema).withColumnRenamed("doc_id", key)
+    return spread(docs.select(F.col(key), F.col(text))).mapInPandas(run, schema).withColumnRenamed("doc_id", key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from normloom.functions import text as X
 from normloom.functions import vectors as V
+from normloom.plans.session import spread
 
 RRF_K = 60
 
@@ -19,7 +20,7 @@ def fused_score(rank_v: Column, rank_l: Column) -> Column:
 
 def lexical_top_k(sections: DataFrame, query: str, k: int, partition: str, key: str) -> DataFrame:
     """The k best matching rows of each partition with rank_l, by term frequency over length; ties go by key."""
-    words = sections.withColumn("words", X.tokens(F.col("text")))
+    words = spread(sections).withColumn("words", X.tokens(F.col("text")))
     hit = words.where(X.query_predicate(query, F.col("words"))).withColumn("lexical", F.round(X.frequency_rank(X.query_terms(query), F.col("words")), 9)).drop("words", "text")
     order = Window.partitionBy(partition).orderBy(F.desc("lexical"), key)
     return hit.withColumn("rank_l", F.row_number().over(order)).where(F.col("rank_l") <= k)

@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "normloom", cpus: int | None = None, driver_memory: str = "8g") -> SparkSession:
@@ -50,6 +51,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for steps that cost far more than a shuffle of their input.
+    Large tables come in enough splits and pass unchanged; a small file of one split doesn't leave the other cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
     sc = spark.sparkContext
@@ -90,5 +98,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """write() and the number of rows, counted while writing."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, name: str) -> None:
         self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name)), True)
