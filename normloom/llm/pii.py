@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from normloom.plans.session import spread
+
 TYPES = ("email", "phone", "id_number", "address", "person")
 
 # --- fixed values: words of the three languages -------------------------------------------------------------------------
@@ -251,7 +253,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     surfaces.append(surface)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(kinds, pa.string()), pa.array(surfaces, pa.string())], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return spread(docs.select(key, text)).mapInArrow(run, schema)
 
 
 def masked(docs: DataFrame, secret: bytes, keep: list[str], text: str = "text") -> DataFrame:
@@ -263,4 +265,4 @@ def masked(docs: DataFrame, secret: bytes, keep: list[str], text: str = "text")
             texts = pa.array([mask(t, secret) for t in batch.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return spread(docs.select(*keep, text)).mapInArrow(run, schema)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from normloom.plans.session import spread
+
 #: Characters of text that one call of the library gets: its encodings take a few hundred bytes a token.
 CHUNK_CHARS = 200_000
 
@@ -95,7 +97,7 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
 
 def _map_ids(df: DataFrame, text: str, keep: list[str], name: str, kind: T.DataType, path: str, make: Callable[[list[list[int]], list[str]], pa.Array]) -> DataFrame:
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, kind)])
-    df = df.select(*keep, F.col(text).alias("_text"))
+    df = spread(df.select(*keep, F.col(text).alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
