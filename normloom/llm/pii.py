@@ -34,6 +34,8 @@ TITLES = "Encik En. Puan Pn. Cik Tuan Dato' Datuk Datin Mr Mr. Mrs Mrs. Ms Ms. M
 ID_LABEL = r"(?i)(?:CCCD|CMND|căn cước(?: công dân)?|chứng minh(?: nhân dân)?|tùy thân|định danh|K/?P|kad pengenalan|MyKad|passport|pasport|hộ chiếu|identity|card|\bID)\b[^\d\n]{0,24}$"
 #: Words before numbers that are none: documents, cases, batches, transactions, forms.
 OTHER_LABEL = r"(?i)(?:giao dịch|hồ sơ|batch|reference|ref\.?|rujukan|kelompok|transaction|transaksi|case|kes|mã|lô|invoice|hóa đơn|văn bản|circular|pekeliling)\b[^\d\n.;!?]{0,16}$"
+#: Words that can only stand before a telephone number, whatever stands further left.
+CALL_LABEL = r"(?i)(?:điện thoại|số máy|gọi số|di động|telefon|telephone|phone|mobile|hotline)\b[^\d\n]{0,3}$"
 PHONE_LABEL = r"(?i)(?:điện thoại|số máy|gọi số|di động|tel|telefon|phone|call|mobile|hubungi|nombor|number|hotline|fax)\b[^\d\n]{0,16}$"
 
 # --- shapes -----------------------------------------------------------------------------------------------------------
@@ -76,7 +78,7 @@ def fold(text: str) -> str:
 
 
 _FAMILY = frozenset(FAMILY)
-_ID, _OTHER, _PHONE = (regex.compile(p) for p in (ID_LABEL, OTHER_LABEL, PHONE_LABEL))
+_ID, _OTHER, _PHONE, _CALL = (regex.compile(p) for p in (ID_LABEL, OTHER_LABEL, PHONE_LABEL, CALL_LABEL))
 
 
 def _born(six: str) -> datetime.date | None:
@@ -100,7 +102,7 @@ def kind_of_number(surface: str, before: str) -> str | None:
         return "phone" if 7 <= len(rest) <= 11 else None
     if digits.startswith("0084") and 12 <= n <= 14 or digits.startswith("0060") and 12 <= n <= 14:
         return "phone"
-    is_id, other = bool(_ID.search(before)), bool(_OTHER.search(before))
+    is_id, other = bool(_ID.search(before)), bool(_OTHER.search(before)) and not _CALL.search(before)
     if n == 12:
         if shape == ["6", "2", "4"] and _born(digits[:6]):
             return "id_number"

@@ -14,6 +14,7 @@ CASES = [
     ("Call +1 555 555 0125 or 555.555.0197 or (555) 555-0136.", [("phone", "+1 555 555 0125"), ("phone", "555.555.0197"), ("phone", "(555) 555-0136")]),
     ("Hubungi +60 10-555 0182 atau 010-555 0164.", [("phone", "+60 10-555 0182"), ("phone", "010-555 0164")]),
     ("Theo văn bản. Gọi số 0115270890 nhé.", [("phone", "0115270890")]),
+    ("bằng văn bản: Điện thoại: 0116 714 487. Ngoài", [("phone", "0116 714 487")]),
     ("CCCD 099.043.052671 đã được đối chiếu. Số căn cước: 099 081 045 743.", [("id_number", "099.043.052671"), ("id_number", "099 081 045 743")]),
     ("MyKad bernombor 940707-00-1564. No. K/P: 661216003095.", [("id_number", "940707-00-1564"), ("id_number", "661216003095")]),
     ("The card numbered 000-46-6137 was checked. ID ZX6810114 is valid.", [("id_number", "000-46-6137"), ("id_number", "ZX6810114")]),
