@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -36,12 +37,17 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_normloom_shipped", False):
         return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="normloom-src-")) / "normloom.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    package, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(target))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/normloom-{uuid.uuid4().hex[:12]}/normloom.zip")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    fs.deleteOnExit(target.getParent())
+    sc.addPyFile(target.toString())
     sc._normloom_shipped = True
 
 
