@@ -105,7 +105,7 @@ def fit_mixture(counts: Iterable[tuple[str, str, int]], barred: tuple[str, ...]
 
     Each format spreads its probability evenly over the days, so a valid reading's likelihood is the same under each and the
     noise component's is smaller by the factor noise. Formats in barred have weight 0. Weights never fall below floor. A
-    second reading has a sparse prior: it needs more support than one value and a hundredth of the usual reading's. An
+    second reading has a sparse prior: it needs more support than half a value and a hundredth of the usual reading's. An
     empty candidate set is noise.
     """
     by_source: dict[str, list[tuple[str, list[str], int]]] = {}
@@ -126,7 +126,7 @@ def fit_mixture(counts: Iterable[tuple[str, str, int]], barred: tuple[str, ...]
                     gained[f] += n * p
             for rare, usual in SECOND_READINGS.items():  # what hardly any value needs isn't a format of the source
                 if rare in gained:
-                    gained[rare] -= 1 + 0.01 * gained[usual]
+                    gained[rare] -= 0.5 + 0.01 * gained[usual]
             new = {f: max(floor, x / total) for f, x in gained.items()}
             done = max(abs(new[f] - weight[f]) for f in weight) < 1e-9
             weight = new
