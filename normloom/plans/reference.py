@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normloom.functions import text as X
@@ -651,15 +651,22 @@ def superseded_by(spark, sf):
     return fold.superseding(_events(spark, sf).withColumn("amending_id", F.col("event_id")))
 
 
+def _grammar() -> Column:
+    """Every document has one: by its language, else (null or another one) by the corpus of its source."""
+    by_lang = F.when(F.col("lang") == "vi", "vn").when(F.col("lang").isin("en", "ms"), "my")
+    corpus = D._case(F.col("source"), D.SOURCE_CORPUS)
+    return F.coalesce(by_lang, F.when(corpus == "my-reg", "my"), F.lit("vn"))
+
+
 @query()
 def vn_parse(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'vi'")
+    d = table(spark, sf, "documents").where(_grammar() == "vn")
     return parsing.sections(d, "vn")
 
 
 @query()
 def my_parse(spark, sf):
-    d = table(spark, sf, "documents").where("lang in ('en', 'ms')")
+    d = table(spark, sf, "documents").where(_grammar() == "my")
     return parsing.sections(d, "my")
 
 

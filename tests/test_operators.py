@@ -206,3 +206,14 @@ def test_trees(spark):
     df = spark.createDataFrame([(1, VN, 0), (2, None, 0), (3, "", 0)], "doc_id bigint, text string, position int")
     out = parsing.sections(df, "vn").collect()
     assert {r["doc_id"] for r in out} == {1} and [r["position"] for r in out] == list(range(7)) and all(r["error"] is None for r in out)
+
+
+def test_every_document_meets_one_parser(spark, tmp_path):
+    from normloom.plans import reference
+
+    text = "Điều 1. Phạm vi\nNội dung.\nSection 1 Scope\nText."
+    kinds = [("vi", "agc"), ("en", "vbpl"), ("ms", None), (None, "agc"), (None, "vbpl"), (None, None), ("", "minutes"), ("fr", "agc")]
+    docs = spark.createDataFrame([(i, text, lang, source) for i, (lang, source) in enumerate(kinds)], "doc_id bigint, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    vn, my = ({r["doc_id"] for r in reference.queries()[q](spark, str(tmp_path)).collect()} for q in ("vn_parse", "my_parse"))
+    assert vn == {0, 4, 5, 6} and my == {1, 2, 3, 7}
