@@ -106,7 +106,7 @@ def fit_mixture(counts: Iterable[tuple[str, str, int]], barred: tuple[str, ...]
     Each format spreads its probability evenly over the days, so a valid reading's likelihood is the same under each and the
     noise component's is smaller by the factor noise. Formats in barred have weight 0. Weights never fall below floor. A
     second reading has a sparse prior: it needs more support than half a value and a hundredth of the usual reading's. An
-    empty candidate set is noise.
+    empty candidate set is noise, and a lone second reading may be; any other valid reading is kept, however rare.
     """
     by_source: dict[str, list[tuple[str, list[str], int]]] = {}
     for source, key, n in counts:
@@ -134,6 +134,9 @@ def fit_mixture(counts: Iterable[tuple[str, str, int]], barred: tuple[str, ...]
                 break
         for key, p in post.items():
             best = max(sorted(p), key=p.get)
+            usual = sorted(f for f in p if f != NOISE and f not in SECOND_READINGS)
+            if best == NOISE and usual:  # however rare, a valid reading isn't given up for noise
+                best = max(usual, key=p.get)
             out[source, key] = (best, p[best])
     return out
 
@@ -143,8 +146,8 @@ def to_instants(
 ) -> DataFrame:
     """Adds fmt, posterior, status and utc_micros to df.
 
-    status: 'resolved' (one reading, posterior at least sure), 'ambiguous' (the posteriors of the source don't decide; the
-    likelier reading is given), 'unusable' (no valid reading, or the source speaks against the only one; utc_micros null),
+    status: 'resolved' (one reading, posterior at least sure), 'ambiguous' (the posteriors of the source don't decide, or speak
+    against the only reading; the likeliest reading is given), 'unusable' (no valid reading, or only a second one that the source speaks against; utc_micros null),
     'absent' (null or blank). day_first states that numeric dates with the year last have the day first, so the other
     reading has no weight; without it the source's own mixture decides. The zone or offset in the value decides, else
     the hint, else default_zone; a zone name in the value that doesn't exist makes it unusable, an unknown hint counts as none.

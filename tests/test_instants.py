@@ -85,3 +85,10 @@ def test_lone_odd_reading_is_not_accepted():
 def test_empty(spark):
     df = spark.createDataFrame([], "source string, value string, tz_hint string")
     assert I.to_instants(df).collect() == []
+
+
+def test_rare_formats_keep_their_dates():
+    """A value of one format among a million with 5 % junk."""
+    fitted = I.fit_mixture([("s", "iso", 949_999), ("s", "", 50_000), ("s", "vi_long", 1)])
+    assert fitted["s", "vi_long"][0] == "vi_long" and fitted["s", "vi_long"][1] < 0.95
+    assert fitted["s", ""][0] == I.NOISE and fitted["s", "iso"][0] == "iso"
