@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -224,10 +225,10 @@ def placeholder(surface: str, kind: str, key: bytes) -> str:
         return f"[ID_NUMBER:{_refill(surface, moved.strftime('%y%m%d') + '00' + permute_digits(digits[8:], key, b'serial' + digits[:6].encode()))}]"
     if kind == "id_number" and len(digits) >= 6:
         return f"[ID_NUMBER:{_refill(surface, digits[0] + permute_digits(digits[1:], key, b'id'))}]"
-    plain = " ".join(fold(surface).replace("[at]", "@").replace("[dot]", ".").split())
+    plain = " ".join(unicodedata.normalize("NFC", surface).lower().replace("[at]", "@").replace("[dot]", ".").split())
     if kind == "email":
         plain = plain.replace(" ", "")
-    return f"[{kind.upper()}:{hashlib.blake2s(plain.encode(), key=key, digest_size=4).hexdigest()}]"
+    return f"[{kind.upper()}:{hashlib.blake2s(plain.encode(), key=key, digest_size=10).hexdigest()}]"
 
 
 def mask(text: str | None, key: bytes) -> str | None:

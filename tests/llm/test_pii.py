@@ -61,6 +61,11 @@ def test_placeholders_link_equal_values():
     assert P.placeholder("A.B@c.test", "email", KEY) == P.placeholder("a.b @ c.test", "email", KEY)
 
 
+def test_different_names_have_different_codes():
+    a, b, c, d = (P.placeholder(x, "person", KEY) for x in ("Nguyễn Văn Hùng", "Nguyễn Văn Hưng", "NGUYỄN  VĂN HÙNG", "Nguyê\u0303n Va\u0306n Hu\u0300ng"))
+    assert a == c == d != b and len(a) == len("[PERSON:]") + 20
+
+
 def test_rows(spark, rows):
     texts = [t for t, _ in CASES] + ["Gọi 0115270890. Gọi 0115270890."]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, surface string")
