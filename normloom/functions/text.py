@@ -10,7 +10,8 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,92 +70,133 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for how, words in parse_query(query) if how != "not" for w in words))
 
 
-def frequency_rank(terms: list[str], words: Column) -> Column:
-    """Sum of the terms' frequencies over 1 + log of the length: a lexical score that SQL can state."""
+def query_groups(query: str) -> list[list[str]]:
+    """What a match has to hold, one group a requirement: the words of one group are alternatives. Excluded words are in none."""
+    out: list[list[str]] = []
+    for how, words in parse_query(query):
+        if how == "or" and out:
+            out[-1] = [*out[-1], *words]
+        elif how != "not":
+            out += [[w] for w in words]
+    return out
 
-    def times(term: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == F.lit(term)))
 
-    hits = sum((times(t) for t in terms), F.lit(0))
-    return hits / (1 + F.log(F.greatest(F.size(words), F.lit(1)).cast("double")))
+def may_match(query: str, text: Column) -> Column:
+    """A cheap test that every matching text passes: each requirement has one of its words somewhere in the lower-case text. It spares
+    the tokens of the texts that can't match."""
+    low, out = F.lower(text), F.lit(True)
+    for words in query_groups(query):
+        one = F.lit(False)
+        for w in words:
+            one = one | low.contains(w)
+        out = out & one
+    return out
 
 
-@F.pandas_udf(T.DoubleType())
-def cover_density(words: pd.Series, terms: pd.Series) -> pd.Series:
-    """Cover-density rank (Clarke, Cormack and Tudhope 2000): every shortest stretch that holds all terms scores 1 if no
-    longer than 16 words, else 16 over its length. Arrays of words and of terms."""
+#: Fixed value: the weight of an unlabelled word.
+COVER_WEIGHT = 0.1
 
-    def rank(ws, ts) -> float:
-        wanted = set(ts) if ts is not None else set()
-        if ws is None or not wanted:
-            return 0.0
-        last: dict[str, int] = {}
-        score, previous = 0.0, -1
-        for i, w in enumerate(ws):
-            if w in wanted:
-                last[w] = i
-                if len(last) == len(wanted):
-                    start = min(last.values())
-                    if start > previous:  # a cover that contains another one isn't shortest
-                        score += min(1.0, 16 / (i - start + 1))
-                        previous = start
-        return score
 
-    return pd.Series([rank(w, t) for w, t in zip(words, terms)], dtype="float64")
+def cover_density(groups: list[list[str]], words: Column) -> Column:
+    """Cover-density rank (Clarke, Cormack and Tudhope 2000) of an array of tokens: every shortest stretch that holds a word
+    of each group adds 0.1 / (1 + the number of other words in it). No group or no such stretch: 0.
 
+    One fold over the wanted tokens with the last place of each group: a stretch ends at every token and starts at the earliest of the last places; it is
+    shortest if it starts later than the stretch before."""
+    if not groups:
+        return F.lit(0.0)
+    wanted = sorted({w for g in groups for w in g})
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: x["w"].isin(wanted))
+    hits = F.transform(hits, lambda x, i: F.struct(x["w"].alias("w"), x["at"].alias("at"), i.alias("no")))
+    none = F.lit(-1)
+    start = F.struct(
+        *[none.alias(f"at{g}") for g in range(len(groups))], *[none.alias(f"no{g}") for g in range(len(groups))], none.alias("before"), F.lit(0.0).alias("score"),
+    )
 
-@F.pandas_udf(T.StringType())
-def fold_nfc(text: pd.Series) -> pd.Series:
-    """NFC and lower case; accents stay."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).lower())
+    def step(acc: Column, x: Column) -> Column:
+        at = [F.when(x["w"].isin(g), x["at"]).otherwise(acc[f"at{k}"]) for k, g in enumerate(groups)]
+        no = [F.when(x["w"].isin(g), x["no"]).otherwise(acc[f"no{k}"]) for k, g in enumerate(groups)]
+        low = lambda cs: F.least(*cs) if len(cs) > 1 else cs[0]
+        new = low(at) > acc["before"]
+        others = (x["at"] - low(at)) - (x["no"] - low(no))
+        return F.struct(
+            *[c.alias(f"at{k}") for k, c in enumerate(at)], *[c.alias(f"no{k}") for k, c in enumerate(no)], F.when(new, low(at)).otherwise(acc["before"]).alias("before"),
+            (acc["score"] + F.when(new, F.lit(COVER_WEIGHT) / (1 + others)).otherwise(0.0)).alias("score"),
+        )
 
+    return F.coalesce(F.aggregate(hits, start, step, lambda acc: acc["score"]), F.lit(0.0))
 
-_D = str.maketrans("đĐ", "dD")
 
+@F.arrow_udf(T.StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    """The composed form; null stays null. A batch that is composed already, the usual case, passes as it is. (Arrow's own
+    normalisation isn't used: its NFC leaves accents apart.)"""
+    values = text.to_pylist()
+    if all(v is None or unicodedata.is_normalized("NFC", v) for v in values):
+        return text
+    return pa.array([v if v is None else unicodedata.normalize("NFC", v) for v in values], pa.string())
 
-@F.pandas_udf(T.StringType())
-def fold_marks(text: pd.Series) -> pd.Series:
-    """Lower case without accents, đ as d."""
 
-    def one(t):
-        return None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.translate(_D)) if not unicodedata.combining(c)).lower()
+def fold_nfc(text: Column | str) -> Column:
+    """NFC and lower case; accents stay."""
+    return F.lower(nfc(text))
+
 
-    return text.map(one)
+def _without_marks() -> tuple[str, str]:
+    """(from, to) for translate: accented Latin letters and their bases, by rule from the character data; d for đ."""
+    table = {"đ": "d", "Đ": "D"}
+    for code in range(0xC0, 0x1F00):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isascii() and all(unicodedata.category(m) == "Mn" for m in marks):
+            table[chr(code)] = base
+    return "".join(table), "".join(table.values())
+
+
+def fold_marks(text: Column | str) -> Column:
+    """Lower case without accents, đ as d; composed and combining forms alike. Null stays null."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.lower(F.regexp_replace(F.translate(column, *_without_marks()), r"\p{Mn}+", ""))
 
 
 class _Reader(HTMLParser):
-    BLOCKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer blockquote pre hr dd dt".split())
-    SKIPPED = frozenset("script style noscript template head".split())
+    #: Elements on lines of their own, elements whose content is no text, and cells.
+    BLOCKS = frozenset(
+        "address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody tfoot thead tr ul".split()
+    )
+    SKIPPED = frozenset("head iframe noscript object script style template".split())
+    CELLS = frozenset(("td", "th"))
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.depth = 0
+        self.inside: list[str] = []  # open elements that are skipped
+
+    def _mark(self, tag: str) -> None:
+        if not self.inside and (tag in self.BLOCKS or tag in self.CELLS):
+            self.out.append("\n" if tag in self.BLOCKS else " ")
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" and self.inside[:1] == ["head"]:  # the head ends here even if nothing closes it
+            self.inside.clear()
         if tag in self.SKIPPED:
-            self.depth += 1
-        elif tag in self.BLOCKS:
-            self.out.append("\n")
-        elif tag in ("td", "th"):
-            self.out.append(" ")
+            self.inside.append(tag)
+        self._mark(tag)
 
     def handle_endtag(self, tag):
-        if tag in self.SKIPPED:
-            self.depth = max(0, self.depth - 1)
-        elif tag in self.BLOCKS:
-            self.out.append("\n")
-        elif tag in ("td", "th"):
-            self.out.append(" ")
+        if tag in self.inside:
+            while self.inside.pop() != tag:
+                pass
+        else:
+            self._mark(tag)
 
     def handle_data(self, data):
-        if not self.depth:
-            self.out.append(data)
+        if not self.inside:
+            self.out.append(" ".join(data.split("\n")))
 
 
 def html_text(html: str | None) -> str | None:
-    """Text of an HTML fragment: block tags break lines, script and style are dropped, table cells are spaced, runs of white
-    space collapse. Null stays null."""
+    """Text of an HTML fragment: block elements stand on lines of their own, scripts, styles, heads and embedded objects are dropped, table
+    cells are spaced, runs of white space (line breaks of the source too) collapse, empty lines vanish. Null stays null."""
     if html is None:
         return None
     reader = _Reader()
@@ -169,44 +211,48 @@ def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(html_text)
 
 
-#: Characters that UTF-8 read as a one-byte code page leaves behind.
-MOJIBAKE = frozenset("ÃÂÄÆáºâ€™œ¢¬‹›¤")
-QUALITY = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("n_chars", "letters", "wide_letters", "bad", "blanks", "private_use", "mojibake", "cyrillic")]
-    + [T.StructField("confidence", T.DoubleType()), T.StructField("ok", T.BooleanType()), T.StructField("reason", T.StringType())]
-)
-
-
-def quality_of(text: str | None, expects_marks: bool = True) -> dict:
-    """Signals of badly extracted text, the confidence they leave and whether the text may be used. expects_marks adds the
-    rule for languages written with accents: long text almost without them is suspect."""
-    t = unicodedata.normalize("NFC", text or "")
-    n = len(t)
-    letters = sum(c.isalpha() for c in t)
-    wide = sum(c.isalpha() and ord(c) > 127 for c in t)
-    bad = sum(c == "�" or unicodedata.category(c) == "Cc" and c not in "\n\t\r\f" for c in t)
-    blanks = sum(c.isspace() for c in t)
-    private = sum("\ue000" <= c <= "\uf8ff" for c in t)
-    moji = sum(c in MOJIBAKE for c in t) if any(c in "ÃÂ€" for c in t) else 0
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in t)
-    out = dict(n_chars=n, letters=letters, wide_letters=wide, bad=bad, blanks=blanks, private_use=private, mojibake=moji, cyrillic=cyrillic)
-    if not n:
-        return out | dict(confidence=0.0, ok=False, reason="empty text")
-    few, hidden = letters < 50, private / n > 0.005
-    broken, foreign = moji >= 8 and moji / n > 0.005, cyrillic >= 8 and cyrillic / n >= 0.005
-    confidence = 1.0
-    confidence -= 5 * bad / n if bad / n > 0.01 else 0
-    confidence -= 0.3 * few + 0.3 * (blanks / n > 0.40) + 0.5 * hidden + 0.7 * broken + 0.7 * foreign
-    confidence -= 0.5 if expects_marks and letters >= 200 and wide / letters < 0.02 else 0
-    confidence = min(1.0, max(0.0, confidence))
-    hard = [r for r, c in (("unreadable characters", bad / n >= 0.01), ("private-use characters", hidden), ("mis-decoded", broken), ("other script", foreign), ("too few letters", few)) if c]
-    ok = confidence >= 0.6 and not hard
-    return out | dict(confidence=confidence, ok=ok, reason=hard[0] if hard else None if ok else "low confidence")
-
-
-@F.pandas_udf(QUALITY)
-def text_quality(text: pd.Series, expects_marks: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([quality_of(t, bool(m)) for t, m in zip(text, expects_marks)], columns=QUALITY.names)
+#: Characters that UTF-8 read in a one-byte code page leaves behind.
+MOJIBAKE = "√∆·ªƒ∫≠‚ÄØ"
+#: The bounds of the quality gate.
+MAX_BAD, MAX_PRIVATE, MAX_MOJIBAKE, MAX_BLANKS, MIN_CYRILLIC, MIN_MARKS = 0.01, 0.005, 0.005, 0.40, 0.005, 0.02
+LEAST_LETTERS, LEAST_MARKERS, LONG_LETTERS, PASS = 50, 8, 200, 0.6
+#: The counts, each the number of matches of a class of characters.
+COUNTS = {
+    "letters": r"\p{L}", "wide_letters": r"[\p{L}&&[^\x00-\x7F]]", "bad": r"[\x{FFFD}\p{Cc}&&[^\n\t\r\f]]", "blanks": r"\p{IsWhite_Space}",
+    "private_use": r"[\x{E000}-\x{F8FF}]", "mojibake": f"[{MOJIBAKE}]", "cyrillic": r"[\x{0400}-\x{04FF}]",
+}
+
+
+def with_quality(df: DataFrame, text: str, expects_marks: Column) -> DataFrame:
+    """df with n_chars, the counts, confidence, ok and reason: signs of badly extracted text, what they leave of 1, and whether the
+    text may be used. expects_marks adds the rule for languages written with accents: long text almost without them is suspect.
+
+    A null or empty text has confidence 0 and is not ok. reason lists the signs of a text that isn't ok, else it is null. Columns that
+    have the names of the added ones are replaced. Built-in expressions throughout, over the composed form of the text."""
+    df = df.withColumn("_t", F.coalesce(nfc(text), F.lit("")))
+    df = df.withColumns({"n_chars": F.length("_t").cast("bigint"), **{n: F.regexp_count("_t", F.lit(p)).cast("bigint") for n, p in COUNTS.items()}}).drop("_t")
+    share = lambda n: F.col(n) / F.nullif(F.col("n_chars"), F.lit(0))
+    moji = (F.col("mojibake") >= LEAST_MARKERS) & (share("mojibake") > MAX_MOJIBAKE)
+    cyrillic = (F.col("cyrillic") >= LEAST_MARKERS) & (share("cyrillic") >= MIN_CYRILLIC)
+    bare = expects_marks & (F.col("letters") >= LONG_LETTERS) & (F.col("wide_letters") / F.nullif(F.col("letters"), F.lit(0)) < MIN_MARKS)
+    # name, when, penalty, whether it alone rejects the text
+    signs = (
+        ("unreadable characters", share("bad") > MAX_BAD, 5 * share("bad"), False),
+        ("too few letters", F.col("letters") < LEAST_LETTERS, F.lit(0.3), True),
+        ("too many blanks", share("blanks") > MAX_BLANKS, F.lit(0.3), False),
+        ("private-use characters", share("private_use") > MAX_PRIVATE, F.lit(0.5), True),
+        ("mis-decoded (mojibake)", moji, F.lit(0.7), True),
+        ("other script (Cyrillic mojibake)", cyrillic, F.lit(0.7), True),
+        ("hardly any accents", bare, F.lit(0.5), False),
+    )
+    empty, confidence, hard = F.col("n_chars") == 0, F.lit(1.0), share("bad") >= MAX_BAD
+    for _, when, penalty, alone in signs:
+        confidence = confidence - F.when(when, penalty).otherwise(0.0)
+        hard = hard | when if alone else hard
+    df = df.withColumn("confidence", F.when(empty, 0.0).otherwise(F.greatest(F.least(confidence, F.lit(1.0)), F.lit(0.0))))
+    df = df.withColumn("ok", ~empty & (F.col("confidence") >= PASS) & ~F.coalesce(hard, F.lit(True)))
+    named = F.array_join(F.array_compact(F.array(*[F.when(when, F.lit(name)) for name, when, _, _ in signs])), "; ")
+    return df.withColumn("reason", F.when(empty, "empty text").when(~F.col("ok"), F.coalesce(F.nullif(named, F.lit("")), F.lit("low confidence"))))
 
 
 _FNV, _PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -258,13 +304,51 @@ def embedder(dimensions: int = 64):
     return embed
 
 
-def scope_terms(number: Column, title: Column, abstract: Column, strong: list[str], strong_title: list[str], weak: list[str], signals: list[str], fold=lambda c: F.lower(c)) -> Column:
-    """The vocabulary terms that a document matches: strong ones in number, title or abstract; strong_title ones in number or
-    title; weak ones in number or title, only with a signal word in number or title or 'nhnn' in the number."""
-    near = fold(F.concat_ws(" ", number, title))
-    wide = fold(F.concat_ws(" ", number, title, abstract))
-    signal = F.lower(F.coalesce(number, F.lit(""))).contains("nhnn")
-    for s in signals:
-        signal = signal | near.contains(s)
-    listed = [*[F.when(wide.contains(t), F.lit(t)) for t in strong], *[F.when(near.contains(t), F.lit(t)) for t in strong_title], *[F.when(signal & near.contains(t), F.lit(t)) for t in weak]]
+#: Fixed value: what a number that is a signal of its own holds.
+SIGNAL_NUMBER = "nhnn"
+
+
+def _plain_terms(terms: list[str]) -> list[str]:
+    return [unicodedata.normalize("NFC", t).lower() for t in terms]
+
+
+def _found_terms(number: Column, near: Column, wide: Column, asked: list[list[str]], shown: list[list[str]]) -> Column:
+    """The shown terms whose asked form is held: strong ones by wide, titled ones by near, weak ones by near beside a signal."""
+    strong, titled, weak, signals = asked
+    signal = number.contains(SIGNAL_NUMBER)
+    for t in signals:
+        signal = signal | near.contains(t)
+    pick = lambda hay, a, b, also=None: [F.when(hay.contains(x) if also is None else also & hay.contains(x), F.lit(y)) for x, y in zip(a, b, strict=True) if x]
+    listed = pick(wide, strong, shown[0]) + pick(near, titled, shown[1]) + pick(near, weak, shown[2], signal)
     return F.array_compact(F.array(*listed)) if listed else F.array().cast("array<string>")
+
+
+def scope_terms(number: Column, title: Column, abstract: Column, strong: list[str], strong_title: list[str], weak: list[str], signals: list[str]) -> Column:
+    """The vocabulary terms that a document matches: strong ones in number, title or abstract; strong_title ones in number or
+    title; weak ones in number or title, only with a signal word in number or title or 'nhnn' in the number. Compared in composed lower case,
+    with accents; the parts stand on lines of their own, so no term is found across the end of one. Nulls count as empty."""
+    plain = lambda c: F.coalesce(fold_nfc(c), F.lit(""))
+    no = plain(number)
+    near = F.concat(no, F.lit("\n"), plain(title))
+    wide = F.when(plain(abstract) != "", F.concat(near, F.lit("\n"), plain(abstract))).otherwise(near)
+    terms = [_plain_terms(t) for t in (strong, strong_title, weak, signals)]
+    return _found_terms(no, near, wide, terms, terms)
+
+
+def scope_query_terms(query: Column, strong: list[str], strong_title: list[str], weak: list[str], signals: list[str]) -> Column:
+    """The terms that a question matches: as scope_terms over the question, and where that finds none and the question is written without
+    any accents, with question and terms both without them. The terms are given as they are in the vocabulary."""
+    strict = scope_terms(F.lit(""), query, query, strong, strong_title, weak, signals)
+    shown = [_plain_terms(t) for t in (strong, strong_title, weak, signals)]
+    bare = [["".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").replace("đ", "d") for t in ts] for ts in shown]
+    hay = F.coalesce(fold_marks(query), F.lit(""))
+    loose = _found_terms(hay, hay, hay, bare, shown)
+    return F.when((F.size(strict) > 0) | (hay != F.coalesce(fold_nfc(query), F.lit(""))), strict).otherwise(loose)
+
+
+SCOPE_CLASSES = ("strong", "strong_title", "weak", "signal")
+
+
+def scope_vocabulary(terms: list[tuple[str, str]]) -> list[list[str]]:
+    """(text, class) rows as the four lists of scope_terms; rows of another class are ignored."""
+    return [[t for t, c in terms if c == k] for k in SCOPE_CLASSES]

@@ -88,13 +88,20 @@ def strictest(corpora: Column) -> Column:
     return F.when(rank == 0, PUBLIC).when(rank == 1, GROUP).otherwise(LOCAL)
 
 
-def edge_pairs(spark: SparkSession) -> DataFrame:
-    """(from_corpus, to_corpus, edge_type): the edge type that follows from the kinds of a permitted pair of corpora."""
-    rule = {("sop", "policy"): "derives", ("policy", "law"): "satisfies", ("policy", "standard"): "implements", ("standard", "law"): "implements"}
-    rows = []
-    for a in CORPORA:
-        for b in CORPORA:
-            kind = "concerns" if a.kind in ("report", "diagram") else rule.get((a.kind, b.kind))
-            if a.can_source and b.can_target and kind:
+#: The links of the control chain that no column of the registry states.
+CONTROL_CHAIN = {("local-sop", "local-policy"): "derives", ("local-policy", "group-std"): "implements"}
+
+
+def edge_pairs(spark: SparkSession, extra: tuple[Corpus, ...] = ()) -> DataFrame:
+    """(from_corpus, to_corpus, edge_type) of every pair that may be linked: the control chain; satisfies where the source's
+    satisfies_target is the target; the first default edge of reports and diagrams to anything that can be a target."""
+    corpora, rows = (*CORPORA, *extra), []
+    for a in corpora:
+        for b in corpora:
+            if kind := CONTROL_CHAIN.get((a.id, b.id)):
                 rows.append((a.id, b.id, kind))
+            elif a.satisfies_target and a.satisfies_target == b.id:
+                rows.append((a.id, b.id, "satisfies"))
+            elif a.kind in ("report", "diagram") and a.can_source and b.can_target and a.default_edges:
+                rows.append((a.id, b.id, a.default_edges.split(",")[0]))
     return spark.createDataFrame(rows, "from_corpus string, to_corpus string, edge_type string")

@@ -6,34 +6,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IN_FORCE, AMENDED, REPEALED, SUPERSEDED, NOT_YET = "in_force", "amended", "repealed", "superseded", "not_yet_effective"
-#: What sources write for a status. A suspended document counts as repealed.
+#: The codes, classes and labels that sources write for a status. A suspended document counts as repealed.
 STATUS_WORDS = {
-    IN_FORCE: ("in_force", "in force", "effective", "active", "chl", "còn hiệu lực", "đang có hiệu lực"),
-    AMENDED: ("amended", "partially amended", "hhlmp", "hết hiệu lực một phần", "được sửa đổi"),
-    REPEALED: ("repealed", "expired", "suspended", "hhl", "hết hiệu lực", "ngưng hiệu lực", "tạm ngưng hiệu lực"),
-    NOT_YET: ("not_yet_effective", "not yet effective", "pending", "chl_chua", "chưa có hiệu lực"),
+    IN_FORCE: ("in_force", "chl", "principal", "còn hiệu lực"),
+    AMENDED: ("partial", "hhl1p", "hhl1phan", "hết hiệu lực một phần"),
+    REPEALED: ("expired", "suspended", "hhl", "tdhl", "repealed", "hết hiệu lực", "tạm dừng hiệu lực"),
+    NOT_YET: ("not_yet", "cchl", "tnhl", "chuacohieuluc", "chưa có hiệu lực"),
 }
 #: Relation labels and the event they mean; any other label is informational.
 EVENT_WORDS = {
-    AMENDED: ("amends", "amended", "amend", "corrects", "sửa đổi", "sửa đổi, bổ sung", "đính chính"),
-    SUPERSEDED: ("replaces", "replaced", "supersedes", "superseded", "thay thế"),
-    REPEALED: ("repeals", "repealed", "abrogates", "bãi bỏ", "hủy bỏ"),
+    AMENDED: ("amends", "amend", "amends_supplements", "corrects", "correction"),
+    SUPERSEDED: ("replaces", "replace", "supersedes", "supersede", "superseded"),
+    REPEALED: ("repeals", "repeal", "abrogates", "abrogate"),
 }
+#: Space characters around a value.
+_OUTER = " \t\n\v\f\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _lookup(words: dict[str, tuple[str, ...]], value: Column) -> Column:
-    clean, out = F.lower(F.trim(value)), F.when(F.lit(False), F.lit(""))
+    clean, out = F.lower(F.trim(value, F.lit(_OUTER))), F.when(F.lit(False), F.lit(""))
     for result, tokens in words.items():
         out = out.when(clean.isin(*tokens), F.lit(result))
     return out
 
 
 def map_validity(raw: Column, effective: Column, now: Column) -> Column:
-    """A known word decides; else the effective date: none or past is in force."""
+    """A known word decides, whatever its case and outer white space; else the effective date: none or past is in force."""
     return F.coalesce(_lookup(STATUS_WORDS, raw), F.when(effective.isNull() | (effective <= now), F.lit(IN_FORCE)).otherwise(F.lit(NOT_YET)))
 
 
 def event_kind(label: Column) -> Column:
+    """amended, superseded or repealed; null for a label that changes no status."""
     return _lookup(EVENT_WORDS, label)
 
 

@@ -15,8 +15,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def literal(vector: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in vector])
+def literal(vector: list[float] | Column) -> Column:
+    """A list as a column; a column (a scalar subquery) as it is."""
+    return vector if isinstance(vector, Column) else F.array(*[F.lit(float(v)) for v in vector])
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -25,10 +26,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), 1 - dot(a, b) / size)
 
 
-def top_k(df: DataFrame, vector: list[float], k: int, partition: str, key: str, column: str = "embedding") -> DataFrame:
-    """The k nearest rows of each partition with distance and rank_v; ties go by key. The query is a literal, so nothing but
+def top_k(df: DataFrame, vector: list[float] | Column, k: int, partition: str, key: str, column: str = "embedding") -> DataFrame:
+    """The k nearest rows of each partition with distance and rank_v; ties go by key. The query is a literal or a scalar subquery, so nothing but
     the ranked columns is shuffled, and the ranking keeps k rows per partition and task before it is."""
-    out = df.where(F.col(column).isNotNull()).withColumn("distance", cosine_distance(F.col(column), literal(vector))).where("distance is not null").drop(column)
+    out = df.where(F.col(column).isNotNull()).withColumn("_q", literal(vector))
+    out = out.withColumn("distance", cosine_distance(F.col(column), F.col("_q"))).where("distance is not null").drop(column, "_q")
     order = Window.partitionBy(partition).orderBy("distance", key)
     return out.withColumn("rank_v", F.row_number().over(order)).where(F.col("rank_v") <= k)
 

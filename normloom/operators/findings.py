@@ -51,14 +51,15 @@ def with_tier(found: DataFrame, corpora: str = "corpora") -> DataFrame:
     return found.withColumn("access_tier", tiers.strictest(F.col(corpora)))
 
 
-def about_node(found: DataFrame, corpus: str, document: str, section: str | None = None) -> DataFrame:
+def about_node(found: DataFrame, corpus: str | Column, document: str | Column, section: str | None = None) -> DataFrame:
     """Findings whose node_refs hold the node; without a section any section of the document."""
 
     def same(n: Column) -> Column:
-        hit = (n["corpus_id"] == corpus) & (n["document_id"] == document)
+        hit = (n["corpus_id"] == F.col("_corpus")) & (n["document_id"] == F.col("_document"))
         return hit if section is None else hit & n["section_id"].eqNullSafe(F.lit(section))
 
-    return found.where(F.exists("node_refs", same))
+    column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return found.withColumns({"_corpus": column(corpus), "_document": column(document)}).where(F.exists("node_refs", same)).drop("_corpus", "_document")
 
 
 def review_queue(edges: DataFrame, by_confidence: bool = False) -> DataFrame:

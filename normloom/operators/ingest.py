@@ -34,12 +34,23 @@ def watermark(old: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 def upsert(existing: DataFrame, incoming: DataFrame, columns: list[str]) -> DataFrame:
     """Documents after a merge on the natural key: an incoming row takes the id of the document with its doc_number, else of the
-    one with its source_url, else its own new_id; all columns are replaced. Of several rows for one document the last seen
-    counts. Documents that nothing touches stay."""
-    numbers = existing.where("doc_number is not null").groupBy("doc_number").agg(F.min("id").alias("by_number"))
-    urls = existing.where("source_url is not null").groupBy("source_url").agg(F.min("id").alias("by_url"))
-    keyed = incoming.join(numbers, "doc_number", "left").join(urls, "source_url", "left").withColumn("id", F.coalesce("by_number", "by_url", "new_id"))
+    one with its source_url, else its own new_id; all columns are replaced. Incoming rows of one number, else of one URL, are one document as
+    well: that of the first of them (by seen). Of several rows for one document the last seen counts. Empty numbers and URLs
+    count as none. Documents that nothing touches stay."""
     rest = [c for c in columns if c != "id"]
+    given = incoming.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("doc_number", "source_url")})
+    stored = lambda c, name: existing.where(f"{c} <> ''").groupBy(c).agg(F.min("id").alias(name))
+    keyed = given.join(stored("doc_number", "by_number"), "doc_number", "left").join(stored("source_url", "by_url"), "source_url", "left").withColumn("known", F.coalesce("by_number", "by_url"))
+
+    def founded(df: DataFrame, c: str, name: str, *ids: str) -> DataFrame:
+        """df with the id that the first row of each value of c has."""
+        first = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(F.struct("seen", F.coalesce(*ids, "new_id").alias("i")))["i"].alias(name))
+        return df.join(first, c, "left")
+
+    keyed = founded(keyed, "doc_number", "of_number", "known")
+    keyed = founded(keyed, "source_url", "of_url", "known", "of_number")
+    keyed = founded(keyed, "doc_number", "of_both", "known", "of_url")  # a new number may come under a URL seen before
+    keyed = keyed.withColumn("id", F.coalesce("known", "of_both", "of_url", "new_id"))
     last = keyed.groupBy("id").agg(F.max(F.struct("seen", *rest)).alias("n")).select("id", *[f"n.{c}" for c in rest])
     return existing.select("id", *rest).join(last.select("id"), "id", "left_anti").unionByName(last)
 

@@ -85,14 +85,44 @@ _PART = re.compile(r"^Phần\s+(?:thứ\s+)?([IVXLC]+|[a-zà-ỹ]+)(?![\w])[.:\s
 _CHAPTER = re.compile(r"^(?:Chương|CHƯƠNG)\s+([IVXLC]+|[0-9]+)(?![\w])[.:\s–-]*(.*)$")
 _SECTION = re.compile(r"^(?:Mục|MỤC)\s+([IVXLC]+|[0-9]+)(?![\w])[.:\s–-]*(.*)$")
 _ARTICLE = re.compile(r"^Điều\s+([0-9]+[a-z]?)(?![0-9A-Za-zđà-ỹ])\s*([.:]?)\s*(.*)$")
-_CLAUSE = re.compile(r"^([0-9]+)\.\s+(.*)$")
-_POINT = re.compile(r"^([a-zđ])[)./]\s+(.*)$")
-_APPENDIX = re.compile(r"^(?:phụ lục|Phụ lục|PHỤ LỤC)(?:\s+(?:số\s+|SỐ\s+)?([0-9]+[a-z]?|[IVXLC]+[a-z]?))?\s*[.:]?$|^PHỤ LỤC(?:\s+([0-9]+|[IVXLC]+))?[\s.:–-]+([^a-zà-ỹ]{3,})$")
-_OUTLINE = re.compile(r"^([IVXLC]+|[A-ZĐ])\s*[.-]\s+(\S.*)$")
-_NUMBERED = re.compile(r"^([0-9]+(?:\.[0-9]+)*)[.)]\s+(.*)$")
+#: An appendix' own line: its label alone in any case, or all in capitals with the title behind.
+_APPENDIX = re.compile(r"^(?i:phụ\s+lục)(?i:\s+(?:số\s+)?(\d+[a-zđ]?|[ivxlc]+[a-zđ]?))?\s*[.:]?$|^PHỤ\s+LỤC(?:\s+(?:SỐ\s+)?(\d+[A-ZĐ]?|[IVXLC]+[A-ZĐ]?)(?!\w))?[\s.:–-]+(\S.{2,})$")
 _BOLD = re.compile(r"^(\*\*|__|\*|_)(.+)\1$")
 
 
+@dataclass(frozen=True)
+class Label:
+    """The label that a line begins with: its letters or digits, the sign that closes it, whether a bracket opens it, and the rest."""
+
+    mark: str
+    close: str
+    bracket: bool
+    rest: str
+
+    def numbers(self) -> list[str]:
+        """['1', '2'] of '1.2'; [] of anything else."""
+        parts = self.mark.split(".")
+        return parts if all(p.isascii() and p.isdigit() for p in parts) else []
+
+
+_ROMANS = frozenset("IVXLC")
+
+
+def label_of(line: str) -> Label | None:
+    """The label of a line: letters and digits (joined by single stops) up to a closing . ) / or -, then white space or the end, or a
+    bracketed one; None for a line that begins otherwise."""
+    at = int(line[:1] == "(")
+    start = at
+    while at < len(line) and (line[at].isalnum() or line[at] == "." and at > start and line[at - 1] != "." and line[at + 1 : at + 2].isdigit()):
+        at += 1
+    mark, gap = line[start:at], at
+    while not start and gap < len(line) and line[gap] == " " and mark.isupper():  # 'IV - Heading'
+        gap += 1
+    close, rest = line[gap : gap + 1], line[gap + 1 :]
+    closed = close == ")" if start else close in (".", ")", "/", "-") and (not rest or rest[0].isspace())
+    return Label(mark, close, bool(start), rest.strip()) if mark and closed else None
+
+
 def _plain(line: str) -> tuple[str, bool]:
     """The line without emphasis around all of it, and whether it had any."""
     bold = False
@@ -135,20 +165,26 @@ def _vn_heading(out: Outline, line: str, bold: bool) -> Node | None:
         return out.add("chapter", 2, f"chuong-{m[1].lower()}", f"Chương {m[1]}", m[2])
     if m := _SECTION.match(line):
         return out.add("section", 3, f"muc-{m[1].lower()}", f"Mục {m[1]}", m[2])
-    if m := _APPENDIX.match(line):
+    if (m := _APPENDIX.match(line)) and (m[3] or "").upper() == (m[3] or ""):
         no = (m[1] or m[2] or "").lower()
         return out.add("appendix", 1, f"phu-luc-{no}" if no else "phu-luc", f"Phụ lục {no}".strip(), m[3] or "")
     if (m := _ARTICLE.match(line)) and (m[2] or not m[3]):
         return out.add("article", 4, f"dieu-{m[1]}", f"Điều {m[1]}", m[3])
-    if (m := _CLAUSE.match(line)) and bold and not out.has("article"):
-        return out.add("article", 4, f"dieu-{m[1]}", f"Điều {m[1]}", m[2])
+    label = label_of(line)
+    if label is None or label.bracket or not label.rest:
+        return None
+    mark = label.mark
+    is_clause = label.close == "." and len(label.numbers()) == 1
+    if is_clause and bold and not out.has("article"):
+        return out.add("article", 4, f"dieu-{mark}", f"Điều {mark}", label.rest)
     below = out.has("article", "clause", "outline")
-    if below and m:
-        return _with_text(out.add("clause", 5, f"khoan-{m[1]}", f"Khoản {m[1]}"), m[2])
-    if below and (m := _POINT.match(line)) and m[1] in POINTS:
-        return _with_text(out.add("point", 6, f"diem-{'dd' if m[1] == 'đ' else m[1]}", f"Điểm {m[1]}"), m[2])
-    if not out.has("article", "appendix") and (m := _OUTLINE.match(line)):
-        return out.add("outline", 3 if len(m[1]) > 1 or m[1] in "IVX" else 4, f"muc-{m[1].lower()}", m[1], m[2])
+    if below and is_clause:
+        return _with_text(out.add("clause", 5, f"khoan-{mark}", f"Khoản {mark}"), label.rest)
+    if below and label.close in ")./" and len(mark) == 1 and mark in POINTS:
+        return _with_text(out.add("point", 6, f"diem-{'dd' if mark == 'đ' else mark}", f"Điểm {mark}"), label.rest)
+    roman, letter = set(mark) <= _ROMANS, len(mark) == 1 and mark in "ABCDEFGHIJKLMNOPQRSTUVWXYZĐ"
+    if not out.has("article", "appendix") and label.close in ".-" and (roman or letter):
+        return out.add("outline", 3 if len(mark) > 1 or mark in "IVX" else 4, f"muc-{mark.lower()}", mark, label.rest)
     return None
 
 
@@ -158,12 +194,13 @@ def _with_text(node: Node, text: str) -> Node:
 
 
 def _vn_fallback(lines: list[str]) -> list[tuple[str, str, str, str]]:
-    numbered = [bool(_NUMBERED.match(line)) for line in lines]
-    if sum(numbered) >= 2:
+    labels = [label_of(line) for line in lines]
+    numbered = [x if x and not x.bracket and x.close in ".)" and x.numbers() and x.rest else None for x in labels]
+    if sum(x is not None for x in numbered) >= 2:
         out = Outline(lambda path, n: f"{path}~{n}")
-        for line in lines:
-            if m := _NUMBERED.match(line):
-                _with_text(out.add("clause", 5 + m[1].count("."), "khoan-" + m[1].rsplit(".", 1)[-1], f"Khoản {m[1]}"), m[2])
+        for line, x in zip(lines, numbered, strict=True):
+            if x:
+                _with_text(out.add("clause", 4 + len(x.numbers()), "khoan-" + x.numbers()[-1], f"Khoản {x.mark}"), x.rest)
             else:
                 out.text(line)
         return out.rows()
@@ -178,9 +215,7 @@ _NOISE = re.compile(r"^(?:\d{1,4}|laws? of malaysia(?:\s+act\s+\d+)?|act\s+\d+|p
 _MY_PART = re.compile(r"^PART\s+([IVXLC]+|\d+)\b[.:\s–-]*(.*)$", re.I)
 _MY_CHAPTER = re.compile(r"^(CHAPTER|DIVISION)\s+(\d+|[IVXLC]+)\b[.:\s–-]*(.*)$", re.I)
 _MY_SCHEDULE = re.compile(r"^((?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH)\s+)?SCHEDULE(?:\s+(\d+|[IVXLC]+))?\b[.:\s–-]*(.*)$")
-_MY_SECTION = re.compile(r"^(\d{1,3})([A-Z]{0,2})\.\s*(.*)$")
-_MY_SUB = re.compile(r"^\((\d{1,3}[A-Z]?)\)\s*(.*)$")
-_MY_LETTER = re.compile(r"^\(([a-z]{1,5})\)\s*(.*)$")
+_MY_SECTION = re.compile(r"^(\d+)([A-Z]*)\.\s*(.*)$")
 _ROMAN = re.compile(r"^(?=[ivx])(x{0,3})(ix|iv|v?i{0,3})$")
 
 
@@ -217,12 +252,14 @@ def parse_my(text: str | None) -> list[tuple[str, str, str, str]]:
                 out.add("section", 3, f"section-{m[1]}{m[2].lower()}", f"Section {m[1]}{m[2]}")
                 line = m[3]
             if line and out.has("section"):
-                if m := _MY_SUB.match(line):
+                label = label_of(line)
+                if label and label.bracket and label.mark.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ").isdigit():
                     letter, title = "", None
-                    out.add("subsection", 4, f"subsection-{m[1].lower()}", f"({m[1]})")
-                    line = m[2]
-                if m := _MY_LETTER.match(line):
-                    token = m[1]
+                    out.add("subsection", 4, f"subsection-{label.mark.lower()}", f"({label.mark})")
+                    line = label.rest
+                    label = label_of(line)
+                if label and label.bracket and label.mark.isascii() and label.mark.isalpha() and label.mark.islower() and len(label.mark) <= 5:
+                    token = label.mark
                     follows = bool(letter) and len(token) == 1 and ord(token) == ord(letter[-1]) + 1
                     title = None
                     if _ROMAN.match(token) and letter and not follows:
@@ -230,7 +267,7 @@ def parse_my(text: str | None) -> list[tuple[str, str, str, str]]:
                     else:
                         out.add("paragraph", 5, f"para-{token}", f"({token})")
                         letter = token
-                    line = m[2]
+                    line = label.rest
         if not line:
             continue
         if title is not None:

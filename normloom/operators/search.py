@@ -18,25 +18,54 @@ def fused_score(rank_v: Column, rank_l: Column) -> Column:
     return part(rank_v) + part(rank_l)
 
 
-def lexical_top_k(sections: DataFrame, query: str, k: int, partition: str, key: str) -> DataFrame:
-    """The k best matching rows of each partition with rank_l, by term frequency over length; ties go by key."""
-    words = spread(sections).withColumn("words", X.tokens(F.col("text")))
-    hit = words.where(X.query_predicate(query, F.col("words"))).withColumn("lexical", F.round(X.frequency_rank(X.query_terms(query), F.col("words")), 9)).drop("words", "text")
+def lexical_index(sections: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """The postings of the sections' texts, one row per word and section: term, key, the kept columns, positions (ascending) and n_tokens.
+
+    Written at ingest (bucketed or sorted by term), it lets lexical_top_k read the rows of a query's words instead of every text."""
+    words = spread(sections.select(key, *keep, "text")).select(key, *keep, X.tokens(F.col("text")).alias("words"))
+    each = words.select(key, *keep, F.size("words").alias("n_tokens"), F.posexplode("words").alias("at", "term"))
+    return each.groupBy("term", key, *keep).agg(F.array_sort(F.collect_list("at")).alias("positions"), F.first("n_tokens").alias("n_tokens"))
+
+
+def from_postings(postings: DataFrame, query: str, key: str, keep: list[str]) -> DataFrame:
+    """key, the kept columns and words, for the sections that hold a word of the query: an array of tokens that is as long as the text
+    up to the last word of the query and null at the places of all others, so that predicates and ranks read it as they read a text's."""
+    asked = sorted({w for _, words in X.parse_query(query) for w in words})
+    one = postings.where(F.col("term").isin(asked)).groupBy(key, *keep).agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("positions", lambda at: F.struct(at, F.col("term")))))).alias("at"))
+    return one.select(key, *keep, F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("at"))), lambda i: F.col("at")[i]).alias("words"))
+
+
+def lexical_top_k(sections: DataFrame, query: str, k: int, partition: str, key: str, postings: bool = False) -> DataFrame:
+    """The k best matching rows of each partition with lexical and rank_l, by cover density; ties go by key.
+
+    sections hold the texts or (postings) the rows of lexical_index. Of texts only those are cut into tokens that hold the query's words at all."""
+    if postings:
+        words = from_postings(sections, query, key, [partition])
+    else:
+        words = spread(sections.where(X.may_match(query, F.col("text")))).withColumn("words", X.tokens(F.col("text"))).drop("text")
+    hit = words.where(F.coalesce(X.query_predicate(query, F.transform("words", lambda w: F.coalesce(w, F.lit("")))), F.lit(False)))
+    hit = hit.withColumn("lexical", F.round(X.cover_density(X.query_groups(query), F.col("words")), 9)).drop("words")
     order = Window.partitionBy(partition).orderBy(F.desc("lexical"), key)
     return hit.withColumn("rank_l", F.row_number().over(order)).where(F.col("rank_l") <= k)
 
 
-def hybrid_search(sections: DataFrame, query: str, vector: list[float], k: int = 10, where: Column | None = None, partition: str = "corpus_id", key: str = "section_id") -> DataFrame:
+def hybrid_search(sections: DataFrame, query: str, vector: list[float] | Column, k: int = 10, where: Column | None = None, partition: str = "corpus_id", key: str = "section_id", postings: DataFrame | None = None) -> DataFrame:
     """The k best rows over all corpora: partition, key, rank_v, rank_l, score.
 
-    sections: partition, key, text, embedding and the columns of where, which filters before either ranking. Ranks are within
+    sections: partition, key, text, embedding and the columns of where, which filters before either ranking; vector may be a scalar
+    subquery. With postings (of lexical_index, over the same rows) no text is read; where then picks the sections by a semi join. Ranks are within
     a corpus, so the best row of every corpus scores about alike; the merge orders by score, corpus, key. k of 0 or less is 10.
     Rows without an embedding or without a match take part in the other ranking only.
     """
     k = k if k > 0 else 10
     base = sections if where is None else sections.where(where)
     near = V.top_k(base.select(partition, key, "embedding"), vector, k, partition, key).select(partition, key, "rank_v")
-    hits = lexical_top_k(base.select(partition, key, "text"), query, k, partition, key).select(partition, key, "rank_l")
+    if postings is None:
+        hits = lexical_top_k(base.select(partition, key, "text"), query, k, partition, key)
+    else:
+        seen = postings if where is None else postings.join(base.select(key), key, "left_semi")
+        hits = lexical_top_k(seen, query, k, partition, key, postings=True)
+    hits = hits.select(partition, key, "rank_l")
     both = near.join(hits, [partition, key], "full_outer").withColumn("score", F.round(fused_score(F.col("rank_v"), F.col("rank_l")), 9))
     best = both.withColumn("place", F.row_number().over(Window.partitionBy(partition).orderBy(F.desc("score"), key))).where(F.col("place") <= k).drop("place")
     return best.orderBy(F.desc("score"), partition, key).limit(k)

@@ -11,7 +11,7 @@ from normloom.functions import validity as V
 from normloom.operators import detect, evals, findings, graph, ingest, parsing, reports, search
 from normloom.operators import validity as fold
 from normloom.plans import domain as D
-from normloom.plans.session import table
+from normloom.plans.session import Scratch, table
 
 QUERIES: dict = {}
 SQLS: dict[str, str] = {}
@@ -33,33 +33,43 @@ def query(sql: str | None = None, recursive: bool = False):
     return add
 
 
-def _vector(spark: SparkSession, sf: str) -> list[float]:
-    """The query's embedding: one row by key."""
-    return list(table(spark, sf, "embeddings").where(F.col("vec_id") == VECTOR_ID).select("embedding").first()[0])
+def _vector(spark: SparkSession, sf: str) -> Column:
+    """The query's embedding: one row by key, as a scalar subquery, so that it is read when the query runs."""
+    return table(spark, sf, "embeddings").where(F.col("vec_id") == VECTOR_ID).select("embedding").scalar()
 
 
 _QV = f"(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {VECTOR_ID})"
 _DIST = f"list_cosine_distance(embedding, {_QV})"
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
-_TERMS = X.query_terms(WORDS)
-_MATCH = "((list_contains(w, 'hồ') AND list_contains(w, 'sơ')) OR list_contains(w, 'records')) AND NOT list_contains(w, 'phê')"
+#: 'hồ sơ or records -phê': hồ AND (sơ OR records) AND NOT phê, since or joins only its neighbours.
+_QMATCH = "list_contains(w, 'hồ') AND (list_contains(w, 'sơ') OR list_contains(w, 'records')) AND NOT list_contains(w, 'phê')"
+#: The query's requirements: 'hồ' and ('sơ' or 'records'), without 'phê'.
+_G1, _G2 = "('hồ')", "('sơ', 'records')"
+
 
+def _sql_lexical(source: str) -> str:
+    """Common table expressions that end in lex (corpus_id, section_id, lexical): the cover density of the rows of source that match."""
+    places = lambda g, k: f"max(CASE WHEN tok IN {g} THEN pos END) OVER p AS pos{k}, max(CASE WHEN tok IN {g} THEN no END) OVER p AS no{k}"
+    return f"""lw AS (SELECT corpus_id, section_id, w FROM (SELECT corpus_id, section_id, {_TOKENS} AS w FROM {source}) WHERE {_QMATCH}),
+lt AS (SELECT corpus_id, section_id, unnest(w) AS tok, unnest(range(len(w))) AS pos FROM lw),
+ln AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY pos) AS no FROM lt WHERE tok IN {_G1} OR tok IN {_G2}),
+lp AS (SELECT *, {places(_G1, 1)}, {places(_G2, 2)} FROM ln WINDOW p AS (PARTITION BY section_id ORDER BY pos)),
+ls AS (SELECT corpus_id, section_id, pos, no, least(pos1, pos2) AS st, least(no1, no2) AS sn FROM lp WHERE pos1 IS NOT NULL AND pos2 IS NOT NULL),
+lc AS (SELECT *, lag(st) OVER (PARTITION BY section_id ORDER BY pos) AS prev FROM ls),
+lex AS (SELECT lw.corpus_id, lw.section_id, round(coalesce(sum(0.1::DOUBLE / (1 + (pos - st) - (no - sn))) FILTER (WHERE prev IS NULL OR st > prev), 0), 9) AS lexical FROM lw LEFT JOIN lc USING (section_id) GROUP BY 1, 2)"""
 
-def _sql_hybrid(where: str, k: int = 10, words: str | None = None) -> str:
+
+def _sql_hybrid(where: str, k: int = 10) -> str:
     """The hybrid search over corp rows that hold the condition."""
-    tf = " + ".join(f"len(list_filter(w, lambda x: x = '{t}'))" for t in _TERMS)
     return f""", base AS (SELECT * FROM corp WHERE {where}),
 v AS (SELECT * FROM (SELECT corpus_id, section_id, row_number() OVER (PARTITION BY corpus_id ORDER BY {_DIST}, section_id) AS rank_v FROM base WHERE embedding IS NOT NULL) WHERE rank_v <= {k}),
-t AS (SELECT corpus_id, section_id, {_TOKENS} AS w FROM base),
-l AS (SELECT * FROM (SELECT corpus_id, section_id, row_number() OVER (PARTITION BY corpus_id ORDER BY round(({tf}) / (1 + ln(greatest(len(w), 1))), 9) DESC, section_id) AS rank_l
-  FROM t WHERE {words or _QMATCH}) WHERE rank_l <= {k}),
+{_sql_lexical("base")},
+l AS (SELECT * FROM (SELECT corpus_id, section_id, row_number() OVER (PARTITION BY corpus_id ORDER BY lexical DESC, section_id) AS rank_l FROM lex) WHERE rank_l <= {k}),
 f AS (SELECT corpus_id, section_id, rank_v, rank_l, round(coalesce(1.0::DOUBLE / (60 + rank_v), 0) + coalesce(1.0::DOUBLE / (60 + rank_l), 0), 9) AS score FROM v FULL JOIN l USING (corpus_id, section_id)),
 g AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY score DESC, section_id) AS place FROM f)
 SELECT corpus_id, section_id, rank_v, rank_l, score FROM g WHERE place <= {k} ORDER BY score DESC, corpus_id, section_id LIMIT {k}"""
 
 
-#: 'hồ sơ or records -phê': hồ AND (sơ OR records) AND NOT phê, since or joins only its neighbours.
-_QMATCH = "list_contains(w, 'hồ') AND (list_contains(w, 'sơ') OR list_contains(w, 'records')) AND NOT list_contains(w, 'phê')"
 
 
 # --- search ---------------------------------------------------------------------------------------------------------
@@ -83,12 +93,19 @@ def phrase_match(spark, sf):
     return w.where(X.query_predicate('"hồ sơ tồn"', F.col("w"))).groupBy("corpus_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT corpus_id, section_id, lexical, rank_l FROM (SELECT corpus_id, section_id, lexical, row_number() OVER (PARTITION BY corpus_id ORDER BY lexical DESC, section_id) AS rank_l FROM (
-  SELECT corpus_id, section_id, round(({' + '.join(f"len(list_filter(w, lambda x: x = '{t}'))" for t in _TERMS)}) / (1 + ln(greatest(len(w), 1))), 9) AS lexical FROM (SELECT *, {_TOKENS} AS w FROM corp) WHERE {_QMATCH})) WHERE rank_l <= 10""")
+@query(f", {_sql_lexical('corp')} SELECT corpus_id, section_id, lexical, rank_l FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY lexical DESC, section_id) AS rank_l FROM lex) WHERE rank_l <= 10")
 def lexical_rank(spark, sf):
     return search.lexical_top_k(D.corpus(spark, sf).select("corpus_id", "section_id", "text"), WORDS, 10, "corpus_id", "section_id").select("corpus_id", "section_id", "lexical", "rank_l")
 
 
+@query(f", {_sql_lexical('corp')} SELECT corpus_id, section_id, lexical, rank_l FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY lexical DESC, section_id) AS rank_l FROM lex) WHERE rank_l <= 10")
+def lexical_postings(spark, sf):
+    """lexical_rank over the written postings of the corpus instead of its texts."""
+    made = search.lexical_index(D.corpus(spark, sf), "section_id", ["corpus_id"])
+    scratch = Scratch(spark, "postings")
+    return search.lexical_top_k(scratch.write(made, "postings"), WORDS, 10, "corpus_id", "section_id", postings=True).select("corpus_id", "section_id", "lexical", "rank_l")
+
+
 @query(_sql_hybrid("true"))
 def rrf_hybrid(spark, sf):
     return search.hybrid_search(D.corpus(spark, sf), WORDS, _vector(spark, sf))
@@ -166,14 +183,41 @@ def stricter_tier_edges(spark, sf):
     return _tiered_edges(spark, sf).groupBy("access_tier").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT id, status AS raw, CASE WHEN status IN ('in_force', 'amended', 'repealed', 'not_yet_effective') THEN status WHEN effective_date IS NULL OR effective_date <= {MOMENT} THEN 'in_force' ELSE 'not_yet_effective' END AS mapped FROM docs""")
+#: Every status code and relation label with its meaning, as the SQL side states them.
+_STATUSES = {
+    "in_force": "in_force", "partial": "amended", "expired": "repealed", "suspended": "repealed", "not_yet": "not_yet_effective", "CHL": "in_force", "HHL": "repealed", "HHL1P": "amended", "HHL1PHAN": "amended",
+    "CCHL": "not_yet_effective", "TNHL": "not_yet_effective", "CHUACOHIEULUC": "not_yet_effective", "TDHL": "repealed", "PRINCIPAL": "in_force", "REPEALED": "repealed", "Còn hiệu lực": "in_force",
+    "Hết hiệu lực một phần": "amended", "Hết hiệu lực": "repealed", "Chưa có hiệu lực": "not_yet_effective", " Tạm dừng hiệu lực ": "repealed",
+}
+_LABELS = {
+    "amends": "amended", "amend": "amended", "amends_supplements": "amended", "corrects": "amended", "correction": "amended", "replaces": "superseded", "replace": "superseded", "supersedes": "superseded", "supersede": "superseded",
+    "superseded": "superseded", "repeals": "repealed", "repeal": "repealed", "Abrogates ": "repealed", "abrogate": "repealed", "legal_basis": None, "consolidates": None, "pua": None, "pub": None, "vbpl_type_99": None, "cites": None, "": None,
+}
+_UNKNOWN = ("amended", "superseded", "bogus", "ngưng hiệu lực", "", "   ")
+
+
+def _values(pairs) -> str:
+    q = lambda v: "NULL" if v is None else "'" + v + "'"
+    return "(VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in pairs) + ")"
+
+
+_BY_DATE = f"CASE WHEN effective_date IS NULL OR effective_date <= {MOMENT} THEN 'in_force' ELSE 'not_yet_effective' END"
+
+
+@query(f"""SELECT id, raw, coalesce(m.mapped, {_BY_DATE}) AS mapped FROM (SELECT id, status AS raw, effective_date FROM docs UNION ALL SELECT 'code ' || raw, raw, DATE '2030-01-01' FROM {_values([*_STATUSES.items(), *((u, None) for u in _UNKNOWN)])} c(raw, x))
+  LEFT JOIN {_values((k.strip().lower(), v) for k, v in _STATUSES.items())} m(code, mapped) ON m.code = lower(trim(raw))""")
 def map_validity(spark, sf):
-    return D.documents(spark, sf).select("id", F.col("status").alias("raw"), V.map_validity(F.col("status"), F.col("effective_date"), F.expr(MOMENT)).alias("mapped"))
+    """Every document's status, and every code that a source writes beside a date in the future."""
+    d = D.documents(spark, sf).select("id", F.col("status").alias("raw"), "effective_date")
+    codes = spark.createDataFrame([(f"code {c}", c) for c in (*_STATUSES, *_UNKNOWN)], "id string, raw string").withColumn("effective_date", F.expr("DATE '2030-01-01'"))
+    return d.unionByName(codes).select("id", "raw", V.map_validity(F.col("raw"), F.col("effective_date"), F.expr(MOMENT)).alias("mapped"))
 
 
-@query("SELECT label, CASE label WHEN 'amends' THEN 'amended' WHEN 'replaces' THEN 'superseded' WHEN 'repeals' THEN 'repealed' END AS kind, count(*) AS n FROM amends GROUP BY 1, 2")
+@query(f"SELECT label, kind, n FROM (SELECT label, count(*) AS n FROM (SELECT label FROM amends UNION ALL SELECT label FROM {_values(_LABELS.items())} v(label, kind)) GROUP BY 1) LEFT JOIN {_values((k.strip().lower(), v) for k, v in _LABELS.items())} m(code, kind) ON m.code = lower(trim(label))")
 def event_kind(spark, sf):
-    return D.amendments(spark, sf).groupBy("label", V.event_kind(F.col("label")).alias("kind")).agg(F.count("*").alias("n"))
+    """The labels of the amendments, and every label that a source writes."""
+    labels = spark.createDataFrame([(c,) for c in _LABELS], "label string")
+    return D.amendments(spark, sf).select("label").unionByName(labels).groupBy("label", V.event_kind(F.col("label")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 _EV = "ev AS (SELECT *, CASE label WHEN 'amends' THEN 'amended' WHEN 'replaces' THEN 'superseded' WHEN 'repeals' THEN 'repealed' END AS kind FROM amends)"
@@ -305,12 +349,21 @@ def resolve_stubs(spark, sf):
     return graph.resolve_stubs(graph.ensure_refs(_named(spark, sf)), d).select("ref_key", "document_id", "flipped")
 
 
-@query(f""", p AS (SELECT *, {D.sql_node_corpus('source')} AS a, {D.sql_node_corpus('target')} AS b FROM edges WHERE target IS NOT NULL)
-SELECT a AS from_corpus, b AS to_corpus, CASE WHEN a = 'reports' AND b IN ('vn-reg', 'my-reg', 'group-std', 'local-policy') THEN 'concerns' WHEN a = 'local-sop' AND b = 'local-policy' THEN 'derives' WHEN a = 'local-policy' AND b IN ('vn-reg', 'my-reg') THEN 'satisfies'
-  WHEN a = 'local-policy' AND b = 'group-std' THEN 'implements' WHEN a = 'group-std' AND b IN ('vn-reg', 'my-reg') THEN 'implements' END AS wanted, count(*) AS n FROM p GROUP BY 1, 2, 3 HAVING wanted IS NOT NULL""")
+#: Every permitted pair of the seven corpora, as the SQL side states them.
+_PAIRS = [
+    ("local-sop", "local-policy", "derives"), ("local-policy", "group-std", "implements"), ("local-policy", "vn-reg", "satisfies"), ("group-std", "my-reg", "satisfies"),
+    *[(a, b, "concerns") for a in ("reports", "diagrams") for b in ("vn-reg", "my-reg", "group-std", "local-policy")],
+]
+_PAIR_ROWS = ", ".join(str(p) for p in _PAIRS)
+
+
+@query(f""", p AS (SELECT {D.sql_node_corpus('source')} AS a, {D.sql_node_corpus('target')} AS b, count(*) AS n FROM edges WHERE target IS NOT NULL GROUP BY 1, 2)
+SELECT x.a AS from_corpus, x.b AS to_corpus, x.t AS wanted, coalesce(p.n, 0) AS n FROM (VALUES {_PAIR_ROWS}) x(a, b, t) LEFT JOIN p ON p.a = x.a AND p.b = x.b""")
 def edge_type_pairs(spark, sf):
+    """Every permitted pair of corpora with its edge type and the number of edges between them."""
     e = D.edges(spark, sf).where("target is not null").select(D.node_corpus(F.col("source")).alias("from_corpus"), D.node_corpus(F.col("target")).alias("to_corpus"))
-    return e.groupBy("from_corpus", "to_corpus").agg(F.count("*").alias("n")).join(F.broadcast(graph_pairs(spark)), ["from_corpus", "to_corpus"]).withColumnRenamed("edge_type", "wanted")
+    n = e.groupBy("from_corpus", "to_corpus").agg(F.count("*").alias("n"))
+    return graph_pairs(spark).join(n, ["from_corpus", "to_corpus"], "left").fillna(0, ["n"]).withColumnRenamed("edge_type", "wanted")
 
 
 def graph_pairs(spark: SparkSession) -> DataFrame:
@@ -392,9 +445,9 @@ def finding_tier_fold(spark, sf):
 @query(f", {_NODES}, g AS ({_gap_sql()}), m AS (SELECT min(node) AS node FROM g) SELECT dedup_key, detail FROM g WHERE node = (SELECT node FROM m) AND corpus_id = (SELECT corpus_id FROM nodes WHERE node = (SELECT node FROM m))")
 def findings_by_node(spark, sf):
     g = _gaps(spark, sf)
-    one = g.agg(F.min(F.struct("node", "corpus_id")).alias("m")).first()["m"]
+    one = lambda c: g.agg(F.min(F.struct("node", "corpus_id")).alias("m")).select(f"m.{c}").scalar()
     refs = g.withColumn("node_refs", F.array(F.struct("corpus_id", F.col("node").alias("document_id"), F.lit(None).cast("string").alias("section_id"))))
-    return findings.about_node(refs, one["corpus_id"], one["node"]).select("dedup_key", "detail")
+    return findings.about_node(refs, one("corpus_id"), one("node")).select("dedup_key", "detail")
 
 
 @query("SELECT id, confidence, created_at FROM edges WHERE NOT promoted ORDER BY confidence DESC NULLS LAST, created_at, id LIMIT 100")
@@ -542,11 +595,23 @@ def watermark_advance(spark, sf):
     return ingest.watermark(old, d, "source")
 
 
-@query("SELECT id, doc_number, title FROM docs WHERE id NOT IN (SELECT id FROM docs WHERE doc_number IN (SELECT docnum FROM doc_item)) UNION ALL SELECT id, doc_number, title FROM (SELECT coalesce(x.by_number, d.id) AS id, d.docnum AS doc_number, d.title, row_number() OVER (PARTITION BY coalesce(x.by_number, d.id) ORDER BY d.rec_id DESC) AS r FROM doc_item d LEFT JOIN (SELECT doc_number, min(id) AS by_number FROM docs WHERE doc_number IS NOT NULL GROUP BY 1) x ON x.doc_number = d.docnum) WHERE r = 1")
+#: Crawled records as incoming documents: every third without its number, under a URL made of its title, so that both natural keys are met.
+_INCOMING = """inc AS (SELECT id AS new_id, CASE WHEN rec_id % 3 > 0 THEN nullif(docnum, '') END AS num, 'u:' || nullif(title, '') AS url, title, rec_id AS seen FROM doc_item),
+old AS (SELECT id, nullif(doc_number, '') AS doc_number, 'u:' || nullif(title, '') AS url, title FROM docs),
+k0 AS (SELECT i.*, coalesce(n.id, u.id) AS known FROM inc i LEFT JOIN (SELECT doc_number, min(id) AS id FROM old WHERE doc_number IS NOT NULL GROUP BY 1) n ON n.doc_number = i.num
+  LEFT JOIN (SELECT url, min(id) AS id FROM old WHERE url IS NOT NULL GROUP BY 1) u ON u.url = i.url),
+k1 AS (SELECT *, CASE WHEN num IS NOT NULL THEN first_value(coalesce(known, new_id)) OVER (PARTITION BY num ORDER BY seen) END AS of_number FROM k0),
+k2 AS (SELECT *, CASE WHEN url IS NOT NULL THEN first_value(coalesce(known, of_number, new_id)) OVER (PARTITION BY url ORDER BY seen) END AS of_url FROM k1),
+k3 AS (SELECT *, CASE WHEN num IS NOT NULL THEN first_value(coalesce(known, of_url, new_id)) OVER (PARTITION BY num ORDER BY seen) END AS of_both FROM k2),
+k4 AS (SELECT *, row_number() OVER (PARTITION BY coalesce(known, of_both, of_url, new_id) ORDER BY seen DESC) AS r, coalesce(known, of_both, of_url, new_id) AS id FROM k3)"""
+
+
+@query(f", {_INCOMING} SELECT id, doc_number, title FROM docs WHERE id NOT IN (SELECT id FROM k4) UNION ALL SELECT id, num, title FROM k4 WHERE r = 1")
 def upsert_natural_key(spark, sf):
-    none = F.lit(None).cast("string").alias("source_url")
-    old = D.documents(spark, sf).select("id", "doc_number", "title", none)
-    new = table(spark, sf, "doc_item").select(F.col("id").alias("new_id"), F.col("docnum").alias("doc_number"), "title", none, F.col("rec_id").alias("seen"))
+    url = F.concat(F.lit("u:"), F.nullif(F.col("title"), F.lit(""))).alias("source_url")
+    old = D.documents(spark, sf).select("id", "doc_number", "title", url)
+    number = F.when(F.col("rec_id") % 3 > 0, F.col("docnum")).alias("doc_number")
+    new = table(spark, sf, "doc_item").select(F.col("id").alias("new_id"), number, "title", url, F.col("rec_id").alias("seen"))
     return ingest.upsert(old, new, ["id", "doc_number", "title"])
 
 
@@ -579,9 +644,10 @@ def token_stats(spark, sf):
 
 
 _STRONG, _TITLE, _WEAK, _SIGNAL = ["kho dữ liệu", "khóa mã"], ["hạn mức rủi ro"], ["kiểm thử", "niêm phong"], ["hệ thống lõi", "chứng từ"]
-_NEAR = "lower(concat_ws(' ', so_ky_hieu, tieu_de))"
-_WIDE = "lower(concat_ws(' ', so_ky_hieu, tieu_de, trich_yeu))"
-_SIG = "(contains(lower(coalesce(so_ky_hieu, '')), 'nhnn') OR " + " OR ".join(f"contains({_NEAR}, '{s}')" for s in _SIGNAL) + ")"
+_NUM = "lower(nfc_normalize(coalesce(so_ky_hieu, '')))"
+_NEAR = f"({_NUM} || chr(10) || lower(nfc_normalize(coalesce(tieu_de, ''))))"
+_WIDE = f"({_NEAR} || chr(10) || lower(nfc_normalize(coalesce(trich_yeu, ''))))"
+_SIG = f"(contains({_NUM}, 'nhnn') OR " + " OR ".join(f"contains({_NEAR}, '{s}')" for s in _SIGNAL) + ")"
 _SCOPE = ", ".join([*[f"CASE WHEN contains({_WIDE}, '{t}') THEN '{t}' END" for t in _STRONG], *[f"CASE WHEN contains({_NEAR}, '{t}') THEN '{t}' END" for t in _TITLE], *[f"CASE WHEN {_SIG} AND contains({_NEAR}, '{t}') THEN '{t}' END" for t in _WEAK]])
 
 
@@ -591,10 +657,22 @@ def scope_match(spark, sf):
     return s.select("item_id", F.array_join(X.scope_terms(F.col("so_ky_hieu"), F.col("tieu_de"), F.col("trich_yeu"), _STRONG, _TITLE, _WEAK, _SIGNAL), ",").alias("terms"))
 
 
-@query()
+_QUALITY = """, q0 AS (SELECT doc_id, nfc_normalize(coalesce(text, '')) AS t, coalesce(lang, 'vi') = 'vi' AS marks FROM documents),
+q1 AS (SELECT doc_id, marks, length(t) AS n_chars, len(regexp_extract_all(t, '\\p{L}')) AS letters, len(regexp_extract_all(t, '\\p{L}')) - len(regexp_extract_all(t, '[A-Za-z]')) AS wide_letters,
+  len(regexp_extract_all(t, '[\\x{FFFD}\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F-\\x{9F}]')) AS bad, len(regexp_extract_all(t, '[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')) AS blanks,
+  len(regexp_extract_all(t, '[\\x{E000}-\\x{F8FF}]')) AS private_use, len(list_filter(string_split(t, ''), lambda x: x <> '' AND contains('√∆·ªƒ∫≠‚ÄØ', x))) AS mojibake, len(regexp_extract_all(t, '[\\x{400}-\\x{4FF}]')) AS cyrillic FROM q0),
+q2 AS (SELECT *, bad / n_chars > 0.01 AS s1, letters < 50 AS s2, blanks / n_chars > 0.4 AS s3, private_use / n_chars > 0.005 AS s4, mojibake >= 8 AND mojibake / n_chars > 0.005 AS s5,
+  cyrillic >= 8 AND cyrillic / n_chars >= 0.005 AS s6, marks AND letters >= 200 AND wide_letters / nullif(letters, 0) < 0.02 AS s7 FROM q1),
+q3 AS (SELECT *, CASE WHEN n_chars = 0 THEN 0.0::DOUBLE ELSE least(greatest(1 - CASE WHEN s1 THEN 5 * bad / n_chars ELSE 0 END - 0.3 * s2::INT - 0.3 * s3::INT - 0.5 * s4::INT - 0.7 * s5::INT - 0.7 * s6::INT - 0.5 * s7::INT, 0), 1)::DOUBLE END AS confidence FROM q2)
+SELECT doc_id, n_chars, letters, wide_letters, bad, blanks, private_use, mojibake, cyrillic, round(confidence, 9) AS confidence,
+  n_chars > 0 AND confidence >= 0.6 AND NOT coalesce(s2 OR s4 OR s5 OR s6 OR bad / n_chars >= 0.01, true) AS ok FROM q3"""
+
+
+@query(_QUALITY)
 def quality_signals(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", (F.coalesce("lang", F.lit("vi")) == "vi").alias("marks"))
-    return d.withColumn("q", X.text_quality("text", "marks")).select("doc_id", "q.*")
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = X.with_quality(d, "text", F.coalesce("lang", F.lit("vi")) == "vi").withColumn("confidence", F.round("confidence", 9))
+    return out.select("doc_id", "n_chars", *X.COUNTS, "confidence", "ok")
 
 
 @query()
@@ -603,10 +681,10 @@ def html_text(spark, sf):
     return d.select("doc_id", X.html_to_text(F.concat(F.lit("<p>"), F.col("text"), F.lit("</p><script>x</script>"))).alias("text"))
 
 
-@query()
+@query(f", {_sql_lexical('corp')} SELECT section_id, lexical FROM lex WHERE lexical > 0")
 def cover_density(spark, sf):
-    w = D.corpus(spark, sf).select("section_id", X.tokens(F.col("text")).alias("w"))
-    return w.select("section_id", X.cover_density("w", F.array(F.lit("hồ"), F.lit("sơ"))).alias("rank")).where("rank > 0")
+    w = D.corpus(spark, sf).where(X.may_match(WORDS, F.col("text"))).select("section_id", X.tokens(F.col("text")).alias("w")).where(X.query_predicate(WORDS, F.col("w")))
+    return w.select("section_id", F.round(X.cover_density(X.query_groups(WORDS), F.col("w")), 9).alias("lexical")).where("lexical > 0")
 
 
 @query()

@@ -57,11 +57,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What one core should get at least before a shuffle of the input pays, in bytes of the optimizer's estimate.
+SPLIT_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for steps that cost far more than a shuffle of their input.
-    Large tables come in enough splits and pass unchanged; a small file of one split doesn't leave the other cores idle."""
+    Judged by the optimizer's estimate of the size, so no job runs while a plan is built: large tables come in enough splits and
+    pass unchanged; a small file of one split doesn't leave the other cores idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
 def shared_dir(spark: SparkSession) -> str:

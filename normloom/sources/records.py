@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from normloom.functions.text import fold_marks
+
 #: A document number inside running text: 12/2024/TT-ABC and the like.
 NUMBER = r"([0-9]+(?:/[0-9]{4})?/[A-ZĐ]+(?:[0-9]*-[A-ZĐ0-9]+)*)"
 
@@ -51,12 +53,40 @@ def anchors(pages: DataFrame, html: str = "content", key: str = "guid", pattern:
     return rows.groupBy(key).agg(F.min(F.struct("page_no", "at", "link", "title")).alias("f")).select(key, "f.link", "f.title")
 
 
+#: What the names of appendices hold, without accents.
+APPENDIX_NAMES = ("phu luc", "phuluc", "bieu mau", "bieumau", "mau so", "danh muc", "ban hanh kem theo", "dinh kem")
+#: The order in which kinds of files and text formats are preferred.
+FILE_KINDS = ("main", "appendix", "attachment", "version_snapshot", "original_scan")
+TEXT_FORMATS = ("docx", "doc")
+
+
+def file_kind(name: Column, ext: Column) -> Column:
+    """appendix by its name (compared without accents), original_scan for another PDF, else main."""
+    plain = fold_marks(name)
+    named = F.lit(False)
+    for word in APPENDIX_NAMES:
+        named = named | plain.contains(word)
+    return F.when(named, "appendix").when(ext == "pdf", "original_scan").otherwise("main")
+
+
+def preferred_files(files: Column) -> Column:
+    """The files to keep of an array of struct(name, url), as struct(name, url, ext, kind): those with a URL that are DOCX, DOC or PDF;
+    texts before PDFs, then by kind, texts also by format; equal ones stay in order."""
+
+    def described(f: Column, i: Column) -> Column:
+        ext = F.lower(F.regexp_extract(f["name"], r"\.([A-Za-z0-9]+)\s*$", 1))
+        kind = file_kind(f["name"], ext)
+        rank = lambda c, values: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), c), F.lit(0)), F.lit(99))
+        pdf = ext == "pdf"
+        return F.struct(pdf.cast("int").alias("a"), rank(kind, FILE_KINDS).alias("b"), F.when(pdf, 0).otherwise(rank(ext, TEXT_FORMATS)).alias("c"), i.alias("i"), f["name"].alias("name"), f["url"].alias("url"), ext.alias("ext"), kind.alias("kind"))
+
+    usable = F.filter(F.transform(files, described), lambda f: (F.trim(f["url"]) != "") & f["ext"].isin("docx", "doc", "pdf"))
+    return F.transform(F.array_sort(usable), lambda f: F.struct(f["name"], f["url"], f["ext"], f["kind"]))
+
+
 def best_file(files: Column) -> Column:
-    """The file to read of an array of struct(kind, ext, name, url): main before appendix before others, documents before PDF."""
-    kind = lambda f: F.when(f["kind"] == "main", 0).when(F.lower(f["name"]).rlike("ph[uụ] ?l[uụ]c|appendix"), 2).otherwise(1)
-    form = lambda f: F.when(F.lower(f["ext"]).isin("doc", "docx"), 0).when(F.lower(f["ext"]) == "pdf", 1).otherwise(2)
-    ranked = F.transform(files, lambda f, i: F.struct(kind(f).alias("a"), form(f).alias("b"), i.alias("i"), f.alias("f")))
-    return F.get(F.array_sort(ranked), 0)["f"]
+    """The first of the preferred files; null where there is none."""
+    return F.get(preferred_files(files), 0)
 
 
 def since(records: DataFrame, watermark: Column, keyword: str = "") -> DataFrame:

@@ -48,10 +48,14 @@ STATUS = "id string, status string, changed timestamp"
 
 
 def _due_statuses(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Status per document: events in the future wait in the state until event time has passed them."""
-    status, waiting = ("in_force", []) if not state.exists else (state.get[0], list(zip(state.get[1], state.get[2])))
+    """Status per document: events in the future wait in the state until event time has passed them. The first row of a document gives
+    its base status."""
+    status, waiting = (None, []) if not state.exists else (state.get[0], list(zip(state.get[1], state.get[2])))
     for frame in frames:
+        if status is None:
+            status = next((s for s in frame["base_status"] if isinstance(s, str)), None)
         waiting += [(int(t.value // 1000), k) for t, k in zip(frame["event_date"], frame["kind"]) if k is not None]
+    status = "in_force" if status is None else status
     now = state.getCurrentWatermarkMs() * 1000
     out = []
     for at, kind in sorted(w for w in waiting if w[0] <= now):
@@ -68,8 +72,10 @@ def _due_statuses(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def status_stream(events: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     """Changes of status as event time passes the events' dates. events: target_id, kind, event_date, seen_at (event time of
-    the stream). An event dated after the watermark is kept and applied by a timer when the watermark passes it."""
-    marked = events.select(F.col("target_id").cast("string").alias("id"), "kind", "event_date", "seen_at").withWatermark("seen_at", lateness)
+    the stream) and, where there is one, base_status, the document's status before any event; without it a document begins in
+    force. An event dated after the watermark is kept and applied by a timer when the watermark passes it. A repealed document stays so."""
+    base = F.col("base_status") if "base_status" in events.columns else F.lit(None).cast("string")
+    marked = events.select(F.col("target_id").cast("string").alias("id"), "kind", "event_date", "seen_at", base.alias("base_status")).withWatermark("seen_at", lateness)
     return marked.groupBy("id").applyInPandasWithState(
         _due_statuses, STATUS, "status string, dates array<bigint>, kinds array<string>", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -109,6 +109,12 @@ def test_ingest(spark, rows):
     ex = spark.createDataFrame([("d1", "n1", "u1", "old"), ("d2", None, "u2", "old"), ("d3", "n3", None, "keep")], "id string, doc_number string, source_url string, title string")
     new = spark.createDataFrame([("x1", "n1", "u9", "new", 1), ("x2", None, "u2", "new", 1), ("x3", "n9", None, "first", 1), ("x3", "n9", None, "last", 2)], "new_id string, doc_number string, source_url string, title string, seen int")
     assert rows(ingest.upsert(ex, new, ["id", "doc_number", "source_url", "title"]).select("id", "title")) == [("d1", "new"), ("d2", "new"), ("d3", "keep"), ("x3", "last")]
+    new = spark.createDataFrame(
+        [("x1", "n9", None, "a", 1), ("x2", "n9", "u9", "b", 2), ("x3", None, "u9", "c", 3), ("x4", "", "", "d", 4), ("x5", "", "", "e", 5), ("x6", "n7", "u2", "f", 6), ("x7", "n7", None, "g", 7), ("x8", "n8", "u9", "h", 8)],
+        "new_id string, doc_number string, source_url string, title string, seen int",
+    )
+    assert rows(ingest.upsert(ex, new, ["id", "doc_number", "source_url", "title"]).select("id", "title")) == [("d1", "old"), ("d2", "g"), ("d3", "keep"), ("x1", "h"), ("x4", "d"), ("x5", "e")]
+    assert ingest.upsert(ex, new.limit(0), ["id", "title"]).count() == 3 and ingest.upsert(ex.limit(0), new, ["id", "title"]).count() == 4
     sec = spark.createDataFrame([("s1", "d1", [1.0]), ("s2", "d2", [1.0])], "id string, document_id string, embedding array<float>")
     assert rows(ingest.replace_sections(sec, sec.where("id = 's1'").withColumn("id", F.lit("s9")), 1).select("id")) == [("s2",), ("s9",)]
     with pytest.raises(Exception, match="dimensions"):
@@ -126,6 +132,9 @@ def test_search(spark, rows):
     assert len(hits) == 4 and all(data[h["section_id"]][4] for h in hits) and [h["score"] for h in hits] == sorted((h["score"] for h in hits), reverse=True)
     assert len(search.hybrid_search(df, "hồ sơ", [1.0, 0.0], 0).collect()) == 10
     assert search.hybrid_search(df.limit(0), "hồ sơ", [1.0, 0.0]).collect() == []
+    posted = search.lexical_index(df, "section_id", ["corpus_id"])
+    by_text, by_index = (search.hybrid_search(df, '"hồ sơ" -khác2', [1.0, 0.0], 6, F.col("ok"), postings=p) for p in (None, posted))
+    assert rows(by_text) == rows(by_index) and by_text.count() == 6
     near = search.vector_multi_query(df.select(F.col("section_id").alias("item_id"), "embedding"), df.where("section_id in (1, 6)").select(F.col("section_id").alias("query_id"), "embedding"), 2, block=3)
     assert rows(near.where("place = 1").select("query_id", "item_id")) == [(1, 1), (6, 6)] and near.count() == 4
     c = df.select(F.col("section_id").alias("id"), "embedding", F.lit("in_force").alias("validity_status"), "text")
@@ -184,6 +193,11 @@ def test_vietnamese_law():
     assert [p for _, p, _, _ in parsing.parse_vn("1. Một.\nthêm\n1.1. Con.\n2. Hai.")] == ["khoan-1", "khoan-1/khoan-1", "khoan-2"]
     assert parsing.parse_vn("\n".join(["dòng chữ dài " * 8] * 4))[0][1] == "toan-van" and parsing.parse_vn("ngắn") == [] == parsing.parse_vn(None)
     assert [p for _, p, _, _ in parsing.parse_vn("**1. Tiêu đề**\nnội dung")] == ["dieu-1"]
+    appendices = {"Phụ Lục 01": "phu-luc-01", "PHỤ LỤC IIa.": "phu-luc-iia", "phụ lục số 2:": "phu-luc-2", "Phụ lục": "phu-luc", "PHỤ LỤC 3 DANH MỤC": "phu-luc-3"}
+    for line, path in appendices.items():
+        assert [p for _, p, _, _ in parsing.parse_vn(f"Điều 1. A\nb\n{line}\nNội dung\nthêm")][1:] == [path], line
+    assert len(parsing.parse_vn("Điều 1. A\nb\nPhụ lục 01 ban hành kèm theo.")) == 1
+    assert [p for _, p, _, _ in parsing.parse_vn("IV - Chung\nA. Riêng\n1. Một\nb) Hai")] == ["muc-iv/muc-a/khoan-1", "muc-iv/muc-a/khoan-1/diem-b"]
 
 
 def test_malaysian_law():

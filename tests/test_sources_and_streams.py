@@ -19,8 +19,11 @@ def test_records(spark, rows):
     row = records.table_rows(page).where("row_no = 1").first()
     assert row["cells"] == ["One two", "3 Jan 2024"] and row["link"] == "f.pdf" and str(row["dated"]) == "2024-01-03"
     assert [tuple(r) for r in records.anchors(page).collect()] == [("ABCDEF12", "/v?id=ABCDEF12", "First")]
-    f = spark.createDataFrame([([("x", "pdf", "a", "1"), ("main", "pdf", "b", "2"), ("main", "docx", "c", "3")],), ([],)], "f array<struct<kind:string,ext:string,name:string,url:string>>")
-    assert [r[0] and r[0]["url"] for r in f.select(records.best_file(F.col("f"))).collect()] == ["3", None]
+    names = ["Phu luc I.docx", "Biểu mẫu 1.doc", "Văn bản gốc.pdf", "Thông tư.doc", "Thông tư.DOCX", "Danh mục.pdf", "trang.html"]
+    f = spark.createDataFrame([([(n, f"u{i}") for i, n in enumerate(names)],), ([("a.docx", " ")],), ([],)], "f array<struct<name:string,url:string>>")
+    got = [[(x["url"], x["kind"]) for x in r[0]] for r in f.select(records.preferred_files(F.col("f"))).collect()]
+    assert got == [[("u4", "main"), ("u3", "main"), ("u0", "appendix"), ("u1", "appendix"), ("u5", "appendix"), ("u2", "original_scan")], [], []]
+    assert [r[0] and r[0]["url"] for r in f.select(records.best_file(F.col("f"))).collect()] == ["u4", None, None]
 
 
 def test_files(spark, tmp_path):
@@ -64,9 +67,9 @@ def test_discovery_stream(spark, tmp_path):
 
 
 def test_due_events_wait_for_event_time(spark, tmp_path):
-    schema = "target_id string, kind string, event_date timestamp, seen_at timestamp"
+    schema = "target_id string, kind string, event_date timestamp, seen_at timestamp, base_status string"
     d = lambda n: datetime(2024, 1, n)
-    batches = [[("x", "amended", d(2), d(1)), ("x", "repealed", d(10), d(1))], [("y", "amended", d(5), d(6))], [("y", None, d(5), d(20))], [("z", None, d(1), d(21))]]
+    batches = [[("x", "amended", d(2), d(1), None), ("x", "repealed", d(10), d(1), None), ("r", "amended", d(2), d(1), "repealed"), ("a", "amended", d(2), d(1), "amended")], [("y", "amended", d(5), d(6), "not_yet_effective")], [("y", None, d(5), d(20), None)], [("z", None, d(1), d(21), None)]]
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     # one file a batch, in the order of writing
