@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -62,6 +63,18 @@ def test_random_across_words_and_slices(spark, states, slice_rows):
     assert run(spark, data, slice_rows=slice_rows) == brute(data)
 
 
+def test_one_entity_in_slices(spark):
+    """Every row of one entity, in runs that cross slices; nothing but a row per slice is gathered per entity."""
+    r = random.Random(7)
+    data = [("hot", f"s{i // 45 % 3}" if r.random() > 0.02 else "odd", None, i * 3, i) for i in range(800)] + [("hot", "same", None, 9000 + i, i) for i in range(150)]
+    assert run(spark, data, slice_rows=40) == brute(data)
+    out = V.versions(frame(spark, data), "id", ["status"], ["eff"], slice_rows=40)
+    lines = [re.sub(r"^[ :+\-|]*", "", x) for x in out._jdf.queryExecution().analyzed().toString().splitlines()]
+    per_entity = [i for i, x in enumerate(lines) if x.startswith("Window ") and re.search(r"\], \[_e#\d+\], \[", x)]
+    below = [next(x for x in lines[i:] if not x.startswith(("Window", "Project"))) for i in per_entity]
+    assert below and all(re.match(r"Aggregate \[_e#\d+, _s#\d+\]", x) for x in below), below
+
+
 def test_empty_and_moment(spark):
     assert run(spark, []) == []
     out = V.versions(frame(spark, [("a", "x", None, 0, 0), ("a", "y", None, 10, 10)]), "id", ["status"], ["eff"])
