@@ -1,16 +1,19 @@
 """Mixed timestamp formats and time zones to one instant.
 
 Method: expectation-maximisation over format mixtures per source. A written value is matched against every format; the
-formats that give it a valid date are its candidates. Values with the same candidates are interchangeable for the mixture,
-so the mixture of a source is fitted on the counts of its candidate sets, a table whose size does not depend on the data.
-A noise component competes with the formats, so that a reading that hardly any value of the source confirms is not accepted
-merely for being the only valid one.
+formats that give it a valid date are its candidates. A source's mixture has a weight per format and, per format, a density of
+dates by month, smoothed by the density of all its dates. Every value contributes the likelihood of each of its readings (weight times density at the month
+read); a noise component stands for strings of digits that only happen to make a date. The posteriors choose the reading
+and say where they don't decide. Values of one source with the same candidates in the same months are interchangeable, so each source is fitted on
+counts of those, in a task of its own; their number is bounded by the calendar, not by the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +36,12 @@ SHAPES = {
 #: Readings of a shape other than the one its group numbers give. Each is a format of its own in the mixture.
 FORMATS = ("iso", "numeric_dmy", "numeric_mdy", "vi_long", "vi_clock", "day_name", "name_day", "ymd8", "dmy8", "epoch_s", "epoch_ms")
 NOISE = "noise"
-#: Formats that read the values of a more usual one in another order.
-SECOND_READINGS = {"numeric_mdy": "numeric_dmy", "dmy8": "ymd8"}
+#: Formats whose values may as well be noise: bare digits that are no date in their usual order.
+NOISE_PRONE = ("dmy8",)
+#: Parts of a value by their place in the replacement that pulls them apart.
+PARTS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone")
+#: Months of the calendar, over which noise is spread evenly.
+MONTHS_IN_ALL = 9999 * 12
 
 
 def known_zones(spark) -> list[str]:
@@ -53,21 +60,17 @@ def with_candidates(df: DataFrame, value: str = "value") -> DataFrame:
     and _zone, the zone or offset that the value itself states. Values are read with runs of white space as one blank."""
     v = F.trim(F.regexp_replace(F.translate(F.col(value), "\u00a0\u3000", "  "), r"\s+", " "))
     df = df.withColumn("_v", v)
-    shape = F.when(F.col("_v").rlike(r"^\d{8,13}$"), F.lit("digits"))
-    for name, (pattern, _) in SHAPES.items():
-        shape = shape.when(F.col("_v").rlike(pattern), F.lit(name))
-    df = df.withColumn("_shape", shape)
-
-    def part(k: int) -> Column:
-        expr = F.when(F.lit(False), F.lit(""))
-        for name, (pattern, groups) in SHAPES.items():
-            if groups[k]:
-                expr = expr.when(F.col("_shape") == name, F.regexp_extract("_v", pattern, groups[k]))
-        return expr
+    # One match per shape pulls all parts apart: they come joined by a character that no written date has.
+    parts, shape = F.when(F.lit(False), F.array().cast("array<string>")), F.when(F.col("_v").rlike(r"^\d{8,13}$"), F.lit("digits"))
+    for name, (pattern, groups) in SHAPES.items():
+        hit = F.col("_v").rlike(pattern)
+        parts = parts.when(hit, F.split(F.regexp_replace("_v", pattern, "\x01".join(f"${g}" if g else "" for g in groups)), "\x01"))
+        shape = shape.when(hit, F.lit(name))
+    df = df.withColumns({"_shape": shape, "_parts": parts})
 
     month = F.lower(F.substring(F.col("_month"), 1, 3))
     by_name = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
-    df = df.withColumns({f"_{n}": part(k) for k, n in enumerate(("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone"))})
+    df = df.withColumns({f"_{n}": F.get("_parts", k) for k, n in enumerate(PARTS)}).drop("_parts")
     num = lambda n: F.col(n).try_cast("int")
     hour, half = F.coalesce(num("_hour"), F.lit(0)), F.upper(F.coalesce("_half", F.lit("")))
     minute, second = F.coalesce(num("_minute"), F.lit(0)), F.coalesce(num("_second"), F.lit(0))
@@ -100,45 +103,78 @@ def with_candidates(df: DataFrame, value: str = "value") -> DataFrame:
     return df.drop("_v", "_shape", "_year", "_month", "_day", "_hour", "_minute", "_second", "_fraction", "_half", "_seconds", "_micros", "_m")
 
 
-def fit_mixture(counts: Iterable[tuple[str, str, int]], barred: tuple[str, ...] = (), noise: float = 1e-3, floor: float = 1e-9, rounds: int = 200) -> dict[tuple[str, str], tuple[str, float]]:
-    """(source, candidate set) -> (format, posterior) from the counts of candidate sets, formats joined by '|'.
+def _date_density(months: np.ndarray, mass: np.ndarray, spread: float) -> np.ndarray:
+    """The density of dates at the given months: half the month's own share, half that of the three years around it, and a trace (spread) of an
+    even one over the whole calendar."""
+    share = mass / max(mass.sum(), 1e-300)
+    order = np.argsort(months)
+    total = np.concatenate([[0.0], np.cumsum(share[order])])
+    near = total[np.searchsorted(months[order], months + 18, "right")] - total[np.searchsorted(months[order], months - 18, "left")]
+    return (1 - spread) * (0.5 * share + 0.5 * near / 37) + spread / MONTHS_IN_ALL
 
-    Each format spreads its probability evenly over the days, so a valid reading's likelihood is the same under each and the
-    noise component's is smaller by the factor noise. Formats in barred have weight 0. Weights never fall below floor. A
-    second reading has a sparse prior: it needs more support than half a value and a hundredth of the usual reading's. An
-    empty candidate set is noise, and a lone second reading may be; any other valid reading is kept, however rare.
+
+def fit_mixture(counts: Iterable[tuple[str, int]], prior: dict[str, float] | None = None, least: float = 1e-3, spread: float = 1e-3, trust: float = 1e-4, rounds: int = 200) -> dict[str, tuple[str, float]]:
+    """candidates -> (format, posterior) of one source, from the counts of its values' candidates: 'format@month' joined by '|', months
+    counted from year 0, '' where a value has none.
+
+    prior multiplies the weight of a format: 0 rules it out. No weight falls below least, whatever the number of values, so a rare format isn't
+    lost in a large source. A format's density is that of its own values and, as one value more, of all the source's dates; a
+    noise-prone format has the latter alone, to which its own values add only trust each, so that junk doesn't vouch for junk. The noise
+    component takes all values without candidates and competes for those that only noise-prone formats explain; its
+    likelihood is even over all months. Any other reading is never given up for noise.
     """
-    by_source: dict[str, list[tuple[str, list[str], int]]] = {}
-    for source, key, n in counts:
-        by_source.setdefault(source, []).append((key, [f for f in key.split("|") if f and f not in barred], n))
-    out = {}
-    for source, sets in by_source.items():
-        total = sum(n for _, _, n in sets)
-        weight = dict.fromkeys((*[f for f in FORMATS if f not in barred], NOISE), 1 / (len(FORMATS) + 1))
-        post: dict[str, dict[str, float]] = {}
-        for _ in range(rounds):
-            gained = dict.fromkeys(weight, 0.0)
-            for key, formats, n in sets:
-                like = {f: weight[f] for f in formats} | {NOISE: weight[NOISE] * (noise if formats else 1.0)}
-                whole = sum(like.values())
-                post[key] = {f: x / whole for f, x in like.items()}
-                for f, p in post[key].items():
-                    gained[f] += n * p
-            for rare, usual in SECOND_READINGS.items():  # what hardly any value needs isn't a format of the source
-                if rare in gained:
-                    gained[rare] -= 0.5 + 0.01 * gained[usual]
-            new = {f: max(floor, x / total) for f, x in gained.items()}
-            done = max(abs(new[f] - weight[f]) for f in weight) < 1e-9
-            weight = new
-            if done:
-                break
-        for key, p in post.items():
-            best = max(sorted(p), key=p.get)
-            usual = sorted(f for f in p if f != NOISE and f not in SECOND_READINGS)
-            if best == NOISE and usual:  # however rare, a valid reading isn't given up for noise
-                best = max(usual, key=p.get)
-            out[source, key] = (best, p[best])
-    return out
+    prior = prior or {}
+    names = [f for f in FORMATS if prior.get(f, 1.0) > 0]
+    index = {f: i for i, f in enumerate(names)}
+    keys, sizes, entries = [], [], []
+    for key, n in counts:
+        for c in filter(None, key.split("|")):
+            f, m = c.split("@")
+            if f in index:
+                entries.append((len(keys), index[f], int(m)))
+        keys.append(key)
+        sizes.append(float(n))
+    n, k_all, f_all = np.array(sizes), len(keys), len(names)
+    if not k_all:
+        return {}
+    k, f, month = (np.array(x, dtype=np.int64) for x in (zip(*entries) if entries else ([], [], [])))
+    prone = np.isin(f, [index[x] for x in NOISE_PRONE if x in index])
+    sound = np.bincount(k[~prone], minlength=k_all) > 0  # has a reading that isn't noise-prone
+    months, at = np.unique(month, return_inverse=True)
+    share = n[k] * np.where(sound[k], 1.0, trust) / np.maximum(np.bincount(k, minlength=k_all)[k], 1)
+    of_source = _date_density(months, np.bincount(at, weights=share, minlength=len(months)), spread)
+    own = np.array([x not in NOISE_PRONE for x in names])
+    scale = np.array([prior.get(x, 1.0) for x in names])
+    noise = np.where(sound, 0.0, np.where(np.bincount(k, minlength=k_all) > 0, 1 / MONTHS_IN_ALL, 1.0))
+    weight, density = np.full(f_all + 1, 1 / (f_all + 1)), np.tile(of_source, (f_all, 1))
+    for _ in range(rounds):
+        like = weight[f] * scale[f] * density[f, at]
+        like_noise = weight[-1] * noise
+        whole = np.bincount(k, weights=like, minlength=k_all) + like_noise
+        post, post_noise = like / whole[k], like_noise / whole
+        got = np.bincount(f, weights=n[k] * post, minlength=f_all)
+        cells = np.zeros_like(density)
+        np.add.at(cells, (f, at), n[k] * post)
+        density = np.where(own[:, None], (cells + of_source) / (got[:, None] + 1), of_source)
+        new = np.maximum(np.append(got, n @ post_noise) / n.sum(), least)
+        new /= new.sum()
+        done = np.abs(new - weight).max() < 1e-9
+        weight = new
+        if done:
+            break
+    best = [(float(p), NOISE) for p in post_noise]
+    for i, j, p in sorted(zip(k.tolist(), f.tolist(), post.tolist())):
+        if p > best[i][0]:
+            best[i] = (p, names[j])
+    return {key: (name, p) for key, (p, name) in zip(keys, best, strict=True)}
+
+
+def _fit_source(source: str, prior: dict[str, float]):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        fitted = fit_mixture(zip(frame["_key"], frame["n"].astype(int)), prior)
+        return pd.DataFrame([(key[0], k, f, p) for k, (f, p) in fitted.items()], columns=[source, "_key", "fmt", "posterior"])
+
+    return run
 
 
 def to_instants(
@@ -146,24 +182,26 @@ def to_instants(
 ) -> DataFrame:
     """Adds fmt, posterior, status and utc_micros to df.
 
-    status: 'resolved' (one reading, posterior at least sure), 'ambiguous' (the posteriors of the source don't decide, or speak
-    against the only reading; the likeliest reading is given), 'unusable' (no valid reading, or only a second one that the source speaks against; utc_micros null),
-    'absent' (null or blank). day_first states that numeric dates with the year last have the day first, so the other
-    reading has no weight; without it the source's own mixture decides. The zone or offset in the value decides, else
+    status: 'resolved' (posterior at least sure), 'ambiguous' (the posteriors of the source don't decide; the likeliest reading is
+    given), 'unusable' (no valid reading, or only a second one that the source's weights and dates speak against; utc_micros null), 'absent' (null or
+    blank). day_first states that numeric dates with the year last have the day first, a prior of 0 for the
+    other reading; without it the source's own mixture decides. The zone or offset in the value decides, else
     the hint, else default_zone; a zone name in the value that doesn't exist makes it unusable, an unknown hint counts as none.
-    Wall times skipped by daylight saving move forward by the gap, repeated ones mean the earlier instant. Columns of df that
-    have the names of the added ones are replaced.
+    Wall times skipped by daylight saving move forward by the gap, repeated ones mean the earlier instant. A null source is a
+    source of its own. Columns of df that have the names of the added ones are replaced.
+
+    The counts of a source's candidates go to one task per source (at most formats x months of them, however many rows) and
+    the choices are joined back; nothing comes to the driver.
     """
     spark = df.sparkSession
-    df = df.drop("fmt", "posterior", "status", "utc_micros")
-    read = with_candidates(df, value).withColumn("_key", F.array_join(F.transform("_cands", lambda c: c["fmt"]), "|"))
+    df = df.drop("fmt", "posterior", "status", "utc_micros").withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("\x00")))
+    day = lambda c: F.date_from_unix_date(F.floor(c["wall"] / F.lit(86_400_000_000)).cast("int"))
+    marked = lambda c: F.concat_ws("@", c["fmt"], (F.year(day(c)) * 12 + F.month(day(c))).cast("string"))
+    read = with_candidates(df, value).withColumn("_key", F.array_join(F.transform("_cands", marked), "|"))
     read = Scratch(spark, "instants").write(read, "read")  # each value is read once, for the counts and for the result
-    seen = read.where(F.trim(F.col(value)) != "").groupBy(source, "_key").agg(F.count("*").alias("n")).collect()  # at most sources x candidate sets
-    barred = ("numeric_mdy",) if day_first else ()
-    fitted = fit_mixture(((r[source], r["_key"], r["n"]) for r in seen), barred)
-    rows = [(s, k, f, p) for (s, k), (f, p) in fitted.items()]
-    choice = spark.createDataFrame(rows, f"{source} string, _key string, fmt string, posterior double")
-    read = read.join(F.broadcast(choice), [source, "_key"], "left")
+    counts = read.where(F.trim(F.col(value)) != "").groupBy("_source", "_key").agg(F.count("*").alias("n"))
+    choice = counts.groupBy("_source").applyInPandas(_fit_source("_source", {"numeric_mdy": 0.0} if day_first else {}), "_source string, _key string, fmt string, posterior double")
+    read = read.join(choice, ["_source", "_key"], "left")
 
     zones = known_zones(spark)
     named = F.col("_zone").contains("/")
@@ -183,7 +221,7 @@ def to_instants(
     absent = F.col(value).isNull() | (F.trim(F.col(value)) == "")
     status = F.when(absent, "absent").when(F.col("utc_micros").isNull(), "unusable").when(F.col("posterior") < sure, "ambiguous").otherwise("resolved")
     read = read.withColumn("status", status).withColumn("fmt", F.when(F.col("utc_micros").isNotNull(), F.col("fmt")))
-    return read.drop("_key", "_cands", "_zone", "_wall", "_tz", "_shift")
+    return read.drop("_source", "_key", "_cands", "_zone", "_wall", "_tz", "_shift")
 
 
 def iso_utc(micros: Column) -> Column:

@@ -91,8 +91,31 @@ v AS (
 """
 
 
+#: The written forms as strptime lists, for the SQL side.
+_FORMS = (
+    "%Y-%m-%dT%H:%M:%S.%f %Y-%m-%dT%H:%M:%S %Y-%m-%dT%H:%M %Y-%m-%d_%H:%M:%S.%f %Y-%m-%d_%H:%M:%S %Y-%m-%d_%H:%M %Y-%m-%d %d/%m/%Y_%H:%M:%S %d/%m/%Y_%H:%M %d/%m/%Y_%I:%M_%p %d/%m/%Y %d.%m.%Y %d-%m-%Y "
+    "%b_%d,_%Y_%I:%M_%p %b_%d,_%Y_%H:%M:%S %b_%d,_%Y %B_%d,_%Y %d_%B_%Y_%H:%M:%S %d_%b_%Y_%H:%M:%S %d_%B_%Y %d_%b_%Y ngày_%d_tháng_%m_năm_%Y Ngày_%d_tháng_%m_năm_%Y %H_giờ_%M_ngày_%d/%m/%Y"
+).split()
+_FORM_LIST = "[" + ", ".join("'" + f.replace("_", " ") + "'" for f in _FORMS) + "]"
+_ZONE = r"(Z|(?:GMT|UTC)(?:[+-]\d{1,2}(?::?\d{2})?)?|[+-]\d{1,2}(?::?\d{2})?|[A-Za-z]+/[A-Za-z0-9_/+-]+)$"
+_WRITTEN = " UNION ALL ".join(f"SELECT '{t}' AS src_table, {k} AS rec_key, '{c}' AS field_name, {c} AS value, tz_hint FROM {t}" for t, k, cs in (("search_item", "item_id", ("ngay_ban_hanh", "ngay_co_hieu_luc")), ("doc_item", "rec_id", ("issuedate", "efffrom"))) for c in cs)
+_INSTANTS = f"""
+WITH v AS (SELECT *, trim(regexp_replace(value, '[\\s\\x{{A0}}\\x{{3000}}]+', ' ', 'g')) AS t FROM ({_WRITTEN})),
+z AS (SELECT *, CASE WHEN regexp_matches(t, '(\\d:\\d\\d|[AP]M|\\d [A-Za-z]+/\\S+$)') THEN regexp_extract(t, '(?:\\d| )' || '{_ZONE}', 1) ELSE '' END AS zone FROM v),
+b AS (SELECT *, trim(left(t, length(t) - length(zone))) AS body, nullif(regexp_extract(zone, '[+-]\\d.*$'), '') AS shift, CASE WHEN contains(zone, '/') THEN zone END AS named FROM z),
+w AS (SELECT *, CASE WHEN regexp_full_match(t, '\\d{{8}}') THEN try_strptime(t, '%Y%m%d') WHEN NOT regexp_full_match(t, '\\d+') THEN try_strptime(body, {_FORM_LIST}) END AS wall,
+  CASE WHEN regexp_full_match(t, '\\d{{9,10}}') THEN make_timestamp(t::BIGINT * 1000000) WHEN regexp_full_match(t, '\\d{{12,13}}') THEN make_timestamp(t::BIGINT * 1000) END AS epoch,
+  coalesce(named, (SELECT name FROM pg_timezone_names() WHERE name = trim(tz_hint)), 'Asia/Ho_Chi_Minh') AS place FROM b),
+i AS (SELECT *, CASE WHEN epoch IS NOT NULL THEN epoch WHEN zone IN ('Z', 'GMT', 'UTC') THEN wall
+    WHEN shift IS NOT NULL THEN wall - (CASE WHEN shift[1] = '-' THEN -1 ELSE 1 END) * (regexp_extract(shift, '^.(\\d{{1,2}})', 1)::INT * INTERVAL 1 HOUR + coalesce(try_cast(regexp_extract(shift, '^.\\d{{1,2}}:?(\\d{{2}})$', 1) AS INT), 0) * INTERVAL 1 MINUTE)
+    ELSE timezone('UTC', timezone(place, wall)) END AS first, zone = '' OR named IS NOT NULL AS local FROM w),
+r AS (SELECT *, CASE WHEN epoch IS NULL AND local AND timezone(place, timezone('UTC', first - INTERVAL 1 HOUR)) = wall THEN first - INTERVAL 1 HOUR ELSE first END AS utc FROM i)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": f"{_INSTANTS} SELECT src_table, rec_key, field_name, strftime(utc, '%Y-%m-%dT%H:%M:%S.%fZ') AS utc_ts FROM r WHERE utc IS NOT NULL",
         "p1_found": f"{_TREE} SELECT node, root, CAST(depth AS INTEGER) AS depth FROM tree UNION ALL SELECT node, root, -1 FROM low",
         "p1_hierarchy": f"""{_TREE}, counts AS (SELECT a AS node, count(*) AS n FROM (SELECT unnest(list_slice(path, 1, depth)) AS a FROM tree WHERE depth > 0) GROUP BY 1)
             SELECT t.node, t.root, CAST(t.depth AS INTEGER) AS depth, array_to_string(t.path, ' > ') AS path, coalesce(c.n, 0) AS n_descendants FROM tree t LEFT JOIN counts c USING (node)

@@ -77,9 +77,29 @@ def test_mixture_decides_by_source_or_says_that_it_cannot(spark):
     assert got["d"] == ("numeric_dmy", "resolved") and got["m"] == ("numeric_mdy", "resolved") and got["b"][1] == "ambiguous"
 
 
-def test_lone_odd_reading_is_not_accepted():
-    fitted = I.fit_mixture([("s", "ymd8", 5000), ("s", "dmy8", 1), ("s", "", 10)])
-    assert fitted["s", "ymd8"][0] == "ymd8" and fitted["s", "dmy8"][0] == I.NOISE and fitted["s", ""][0] == I.NOISE
+def keys(fmt, years=range(2010, 2025), n=30):
+    return [(f"{fmt}@{y * 12 + m}", n) for y in years for m in range(1, 13)]
+
+
+def test_dates_decide_between_a_rare_format_and_noise():
+    """Eight digits that are no date in their usual order: day-first among the source's own years, noise in others, however large the source."""
+    for n in (3, 30_000):
+        odd = [(f"dmy8@{2020 * 12 + 12}", 1), (f"dmy8@{230 * 12 + 12}", 1), (f"dmy8@{231 * 12 + 2}", 2)]
+        fitted = I.fit_mixture([*keys("ymd8", n=n), *odd, ("", 20 * n)])
+        assert fitted[odd[0][0]][0] == "dmy8" and fitted[odd[1][0]][0] == I.NOISE == fitted[odd[2][0]][0] and fitted[""][0] == I.NOISE
+    alone = I.fit_mixture([*keys("dmy8"), ("", 9)])
+    assert all(alone[k][0] == "dmy8" for k, _ in keys("dmy8"))
+    both = f"ymd8@{2010 * 12 + 12}|dmy8@{1201 * 12 + 10}"
+    assert I.fit_mixture([*keys("ymd8"), *keys("dmy8"), (both, 1)])[both][0] == "ymd8"
+    assert I.fit_mixture([]) == {} and I.fit_mixture([("", 1)]) == {"": (I.NOISE, 1.0)}
+
+
+def test_the_mixture_decides_results(spark):
+    """Without it the first valid reading would count: 20 December 230."""
+    usual = [f"{y}{m:02}{d:02}" for y in range(2010, 2024) for m in range(1, 13) for d in (3, 17, 28)]
+    df = spark.createDataFrame([("s", v, "UTC") for v in [*usual, "20120230", "31122020", "-"]], "source string, value string, tz_hint string")
+    got = {r["value"]: (r["fmt"], r["status"]) for r in I.to_instants(df).where("value in ('20120230', '31122020', '20100103')").collect()}
+    assert got == {"20120230": (None, "unusable"), "31122020": ("dmy8", got["31122020"][1]), "20100103": ("ymd8", "resolved")} and got["31122020"][1] in ("resolved", "ambiguous")
 
 
 def test_empty(spark):
@@ -88,7 +108,13 @@ def test_empty(spark):
 
 
 def test_rare_formats_keep_their_dates():
-    """A value of one format among a million with 5 % junk."""
-    fitted = I.fit_mixture([("s", "iso", 949_999), ("s", "", 50_000), ("s", "vi_long", 1)])
-    assert fitted["s", "vi_long"][0] == "vi_long" and fitted["s", "vi_long"][1] < 0.95
-    assert fitted["s", ""][0] == I.NOISE and fitted["s", "iso"][0] == "iso"
+    """A value of one format among a million with 5 % junk, also far from all other dates."""
+    rare = (f"vi_long@{2015 * 12 + 3}", f"vi_clock@{1945 * 12 + 9}", f"ymd8@{1945 * 12 + 9}")
+    fitted = I.fit_mixture([*keys("iso", n=5000), ("", 50_000), *((r, 1) for r in rare)])
+    assert [fitted[r][0] for r in rare] == ["vi_long", "vi_clock", "ymd8"] and fitted[""][0] == I.NOISE
+
+
+def test_many_sources_and_null_ones(spark):
+    data = [(f"s{i}" if i % 7 else None, "05/07/2020", None) for i in range(60)]
+    got = I.to_instants(spark.createDataFrame(data, "source string, value string, tz_hint string")).collect()
+    assert len(got) == 60 and {r["status"] for r in got} == {"resolved"} and sum(r["source"] is None for r in got) == 9
