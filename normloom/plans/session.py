@@ -63,11 +63,13 @@ SPLIT_BYTES = 32 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for steps that cost far more than a shuffle of their input.
-    Judged by the optimizer's estimate of the size, so no job runs while a plan is built: large tables come in enough splits and
-    pass unchanged; a small file of one split doesn't leave the other cores idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    No job runs for it while a plan is built: a plan without exchanges and subqueries says how many splits its files have; any other is judged by the
+    optimizer's estimate of its size. Large tables come in enough splits and pass unchanged; a small file of one split doesn't leave
+    the other cores idle."""
+    cores, done = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if not any(word in done.executedPlan().toString() for word in ("Exchange", "Subquery", "subquery")):
+        return df.repartition(cores) if done.toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if int(done.optimizedPlan().stats().sizeInBytes()) < cores * SPLIT_BYTES else df
 
 
 def shared_dir(spark: SparkSession) -> str:
