@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from hypothesis import given, settings
@@ -22,11 +23,11 @@ def test_pieces(text, limit, overlap):
             assert not any(own - 1 < c < own + 1 for c in cuts)
 
 
-@settings(max_examples=100, deadline=None)
-@given(texts, st.integers(20, 150))
-def test_class_against_brute_force(text, limit):
+@settings(max_examples=200, deadline=None)
+@given(texts, st.integers(20, 150), st.integers(0, 15))
+def test_class_against_brute_force(text, limit, overlap):
     stretches = re.split(r"\r\n|[\n\r\v\f\x85\u2028\u2029]|(?<=[.;:!?])\s", text)
-    assert S.cut_class(text, limit) == ("forced" if max(map(len, stretches)) > limit else "natural")
+    assert S.bisect(text, limit, overlap)[0] == ("forced" if max(map(len, stretches)) > limit else "natural")
 
 
 def test_strongest_boundary_near_the_middle():
@@ -51,4 +52,10 @@ def test_rows(spark, rows):
         assert all(r["piece"] == texts[k][r["piece_start"] : r["piece_end"]] and len(r["piece"]) <= 1200 for r in v)
         assert all(a["piece"][-100:] == b["piece"][:100] for a, b in zip(v, v[1:]))
     assert {r["citation_path"] for r in by["s2"]} == {None}
-    assert S.split_sections(df.limit(0)).collect() == []
+    classes = {r["section_id"]: (r["cut_class"], r["n_pieces"], r["citation_path"]) for r in S.section_classes(df).collect()}
+    assert classes == {k: (v[0]["cut_class"], len(v), v[0]["citation_path"]) for k, v in by.items()}
+    made = {r["section_id"]: r for r in S.rebuilt(S.split_sections(df)).collect()}
+    assert {k: (r["n_chars"], r["digest"], r["sound"]) for k, r in made.items()} == {k: (len(texts[k]), hashlib.md5(texts[k].encode()).hexdigest(), True) for k in by} and all(r["longest"] <= 1200 for r in made.values())
+    other = spark.createDataFrame([("s1", "a", "y" * 1300, 1), ("s1", "b", long, 2)], df.schema)  # different copies: the longest counts
+    assert [tuple(r)[:3] for r in S.section_classes(other).collect()] == [("s1", "b", "natural")] and {r["citation_path"] for r in S.split_sections(other).collect()} == {"b"}
+    assert S.split_sections(df.limit(0)).collect() == [] == S.section_classes(df.limit(0)).collect()
