@@ -19,6 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normloom.plans.session import spread
@@ -26,8 +27,18 @@ from normloom.plans.session import spread
 TYPES = ("email", "phone", "id_number", "address", "person")
 
 # --- fixed values: words of the three languages -------------------------------------------------------------------------
-#: Common Vietnamese family names, without accents.
-FAMILY = "nguyen tran le pham hoang huynh phan vu vo dang bui do ho ngo duong ly dinh trinh mai dao doan lam luong truong cao ta ha chu thai to".split()
+#: Vietnamese family names, without accents.
+FAMILY = (
+    "nguyen tran le pham hoang huynh phan vu vo dang bui do ho ngo duong ly dinh trinh mai dao doan lam luong truong cao ta ha chu thai to "
+    "mac kieu quach la luu vuong tang au lai ninh nghiem diep kim thach tong vi ung tieu son phung khuat giap ngac hua la khong dam ton bach chau lac thieu trieu nong lo luc phi quang ma sam tham"
+).split()
+#: Common English and Malay given names: a capitalised name that follows makes a person, without any other context.
+GIVEN = frozenset(
+    "James Robert John Michael David William Richard Joseph Thomas Christopher Charles Daniel Matthew Anthony Mark Steven Andrew Paul Joshua Kenneth Kevin Brian Timothy Ronald George Edward Jason Jeffrey Ryan Jacob "
+    "Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Benjamin Samuel Gregory Patrick Peter Henry Douglas Simon Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Sandra Ashley Emily "
+    "Kimberly Margaret Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Sharon Cynthia Amy Kathleen Angela Helen Anna Emma Nicole Samantha Catherine Christine Rachel Maria Alice Julia Jane Diana Hannah "
+    "Siti Nur Nurul Noor Mohd Mohamad Mohammad Muhammad Ahmad Abdul Ismail Ibrahim Hassan Azman Azlan Faizal Hafiz Zulkifli Rosli Razak Rahman Aminah Fatimah Aishah Khadijah Zainab Norhayati Farah".split()
+)
 #: Words between a Malay given name and the father's name.
 PATRONYM = r"(?i:binti|bin|bte?\.?|b\.|a/[lp]|anak)"
 TITLES = "Encik En. Puan Pn. Cik Tuan Dato' Datuk Datin Mr Mr. Mrs Mrs. Ms Ms. Miss Dr Dr. Prof Prof. Ông Bà Anh Chị Cô ông bà anh chị cô".split()
@@ -65,7 +76,15 @@ VIETNAMESE = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’\-@._]|\p{{Lu}}\p{{L}}* )
 MALAY = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’\-@._])(?:{WORD} ){{1,3}}{PATRONYM} {WORD}(?: {WORD})?(?![\p{{L}}\p{{M}}@_])")
 TITLED = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Encik|En|Puan|Pn|Cik|Tuan|Dato'|Datuk|Datin|[ôÔ]ng|[bB]à)\.? ({_NAME})(?![\p{{L}}\p{{M}}@_])")
 LABELLED = regex.compile(rf"(?:(?<![\p{{L}}])(?:Full name|Name|Nama(?: penuh)?|Họ(?: và)? tên|Tên)\s?:\s?|(?:prepared|signed|drafted|filed|witnessed|submitted) by |(?:disediakan|ditandatangani|disaksikan|dikemukakan) oleh |(?:trình bày|đơn|ý kiến) của |[bB]iên bản do )({_NAME})(?![\p{{L}}\p{{M}}@_])")
+#: Words for what persons do, right behind a name: the context that makes two capitalised words a person.
+ACTS = (
+    "asked requested applied appealed objected met attended signed wrote called said stated confirmed complained reported visited emailed phoned replied paid bought sold lives works joined resigned "
+    "memohon meminta merayu hadir menandatangani menulis menelefon berkata menyatakan mengesahkan melaporkan membayar tinggal bekerja đề nghị|yêu cầu|kiến nghị|khiếu nại|trình bày|gửi đơn|ký tên|xác nhận|cho biết|tham dự|phản ánh"
+).replace(" đề nghị", "|đề nghị")
+ACTS = "|".join(w for part in ACTS.split("|") for w in (part.split() if part.isascii() else [part]))
 ACTING = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’\-@._])((?:\p{{Lu}}\. ?|\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+ )(?:\p{{Lu}}\. ?)?\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+) (?:asked|requested|applied|appealed|objected|memohon|meminta|merayu|đề nghị|yêu cầu|kiến nghị|khiếu nại)(?![\p{{L}}])")
+#: A common given name and one or two capitalised names behind it.
+NAMED = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’\-@._])(\p{{Lu}}\p{{Ll}}+)((?: \p{{Lu}}\.)?(?: \p{{Lu}}[\p{{L}}\p{{M}}'’\-]+){{1,2}})(?![\p{{L}}\p{{M}}\d@_])")
 #: Capitalised words that begin sentences or headings and are no names.
 NO_NAME = frozenset("the each an in where for subject section seksyen form borang release keluaran case kes batch điều mục theo trong ngoài trước khi đối bên cơ người tổ ban bộ nhóm hội đơn đại chi căn mã thẻ phiên mức gửi biên giấy".split())
 _FOLD = str.maketrans("đĐ", "dD")
@@ -82,6 +101,13 @@ _FAMILY = frozenset(FAMILY)
 _ID, _OTHER, _PHONE, _CALL = (regex.compile(p) for p in (ID_LABEL, OTHER_LABEL, PHONE_LABEL, CALL_LABEL))
 
 
+#: No label is longer than this with all that may stand between it and its number.
+LOOK_BACK = 48
+#: Place codes that no identity card of Malaysia has (the first is used for invented ones).
+NO_PLACE = ("00", "17", "18", "19", "20", "69", "70", "73", "80", "81", "94", "95", "96", "97")
+FAKE_PLACE = "00"
+
+
 def _born(six: str) -> datetime.date | None:
     """The date that YYMMDD states; the century doesn't matter for its validity but for 29 February."""
     for century in (1900, 2000):
@@ -111,7 +137,8 @@ def kind_of_number(surface: str, before: str) -> str | None:
             return "id_number"
         if other:
             return None
-        return "id_number" if digits[0] == "0" or _born(digits[:6]) and digits[6:8] == "00" else None
+        place = digits[6:8]
+        return "id_number" if digits[0] == "0" or _born(digits[:6]) and (place == FAKE_PLACE or place not in NO_PLACE) else None
     if n == 9 and (shape == ["3", "2", "4"] or is_id and len(shape) == 1):
         return "id_number"
     if other:
@@ -142,11 +169,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             take(m.start(), m.end(), "address")
     for m in DIGITS.finditer(text):
-        kind = kind_of_number(m[0], text[max(0, m.start() - 48) : m.start()])
+        kind = kind_of_number(m[0], text[max(0, m.start() - LOOK_BACK) : m.start()])
         if kind:
             take(m.start(), m.end(), kind)
     for m in PASSPORT.finditer(text):
-        if _ID.search(text[max(0, m.start() - 48) : m.start()]) or regex.fullmatch(r"[A-Z]{2}\d{7}", m[0]):
+        if _ID.search(text[max(0, m.start() - LOOK_BACK) : m.start()]) or regex.fullmatch(r"[A-Z]{2}\d{7}", m[0]):
             take(m.start(), m.end(), "id_number")
     for m in MALAY.finditer(text):
         words, start = m[0].split(" "), m.start()
@@ -161,6 +188,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         first = fold(m[1])
         if first in _FAMILY and not (first in ("do", "to", "ha", "an") and m[0].count(" ") == 1 and m[1].isascii()):
             take(m.start(), m.end(), "person")
+    for m in NAMED.finditer(text):
+        if m[1] in GIVEN and not {w.lower() for w in m[0].split()} & NO_NAME:
+            take(m.start(), m.end(), "person")
     for pattern in (TITLED, LABELLED, ACTING):
         for m in pattern.finditer(text):
             words, start = m[1].split(" "), m.start(1)
@@ -194,14 +224,25 @@ def permute_digits(digits: str, key: bytes, tweak: bytes = b"", back: bool = Fal
     return a + b
 
 
-def permute_date(day: datetime.date, key: bytes) -> datetime.date:
-    """A keyed permutation of the days from 1900 to 1999, by walking the cycle of the five-digit permutation."""
-    first, days = datetime.date(1900, 1, 1), (datetime.date(2000, 1, 1) - datetime.date(1900, 1, 1)).days
-    at = (day - first).days % days
+def permute_among(value: int, size: int, digits: int, key: bytes, tweak: bytes) -> int:
+    """A keyed permutation of 0 to size - 1, by walking the cycle of the permutation of all strings of that many digits."""
     while True:
-        at = int(permute_digits(f"{at:05d}", key, b"date"))
-        if at < days:
-            return first + datetime.timedelta(days=at)
+        value = int(permute_digits(f"{value:0{digits}d}", key, tweak))
+        if value < size:
+            return value
+
+
+def permute_date(six: str, key: bytes) -> str:
+    """A keyed permutation of the dates YYMMDD that exist in this or the last century (those of 2000 to 2099)."""
+    first, days = datetime.date(2000, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(2000, 1, 1)).days
+    at = (datetime.date(2000 + int(six[:2]), int(six[2:4]), int(six[4:])) - first).days
+    return (first + datetime.timedelta(days=permute_among(at, days, 5, key, b"date"))).strftime("%y%m%d")
+
+
+def permute_place(place: str, key: bytes) -> str:
+    """A keyed permutation of the place codes in use; a code that isn't stays among those."""
+    codes = [f"{i:02}" for i in range(100) if (f"{i:02}" in NO_PLACE) == (place in NO_PLACE)]
+    return codes[permute_among(codes.index(place), len(codes), 2, key, b"place" + bytes((len(codes),)))]
 
 
 def _refill(surface: str, digits: str) -> str:
@@ -209,6 +250,12 @@ def _refill(surface: str, digits: str) -> str:
     return "".join(next(rest) if c.isdigit() else c for c in surface)
 
 
+def _is_card(surface: str, digits: str) -> bool:
+    """Whether 12 digits are a date, a place and a serial number: grouped so, or not beginning like a number that starts with a province (0)."""
+    groups = [len(g) for g in regex.findall(r"\d+", surface)]
+    return _born(digits[:6]) is not None and (groups == [6, 2, 4] or digits[0] != "0" and groups == [12])
+
+
 @lru_cache(maxsize=100_000)
 def placeholder(surface: str, kind: str, key: bytes) -> str:
     """'[TYPE:pseudonym]'. The same value, however it is grouped or capitalised, has the same pseudonym digits or code."""
@@ -220,15 +267,20 @@ def placeholder(surface: str, kind: str, key: bytes) -> str:
                 national = digits[len(code) :]
                 break
         return f"[PHONE:{_refill(surface, digits[: len(digits) - len(national)] + permute_digits(national, key, b'phone'))}]"
-    if kind == "id_number" and len(digits) == 12 and digits[6:8] == "00" and (born := _born(digits[:6])) and born.year < 2000:
-        moved = permute_date(born, key)
-        return f"[ID_NUMBER:{_refill(surface, moved.strftime('%y%m%d') + '00' + permute_digits(digits[8:], key, b'serial' + digits[:6].encode()))}]"
+    if kind == "id_number" and len(digits) == 12 and _is_card(surface, digits):
+        moved = permute_date(digits[:6], key) + permute_place(digits[6:8], key)
+        return f"[ID_NUMBER:{_refill(surface, moved + permute_digits(digits[8:], key, b'serial' + digits[:8].encode()))}]"
     if kind == "id_number" and len(digits) >= 6:
         return f"[ID_NUMBER:{_refill(surface, digits[0] + permute_digits(digits[1:], key, b'id'))}]"
     plain = " ".join(unicodedata.normalize("NFC", surface).lower().replace("[at]", "@").replace("[dot]", ".").split())
     if kind == "email":
         plain = plain.replace(" ", "")
-    return f"[{kind.upper()}:{hashlib.blake2s(plain.encode(), key=key, digest_size=10).hexdigest()}]"
+    return f"[{kind.upper()}:{hashlib.blake2s(plain.encode(), key=key, digest_size=16).hexdigest()}]"
+
+
+def pseudonyms(text: str | None, key: bytes) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, placeholder) of every stretch of find()."""
+    return [(a, b, kind, placeholder(text[a:b], kind, key)) for a, b, kind in find(text)] if text else []
 
 
 def mask(text: str | None, key: bytes) -> str | None:
@@ -236,29 +288,40 @@ def mask(text: str | None, key: bytes) -> str | None:
     if not text:
         return text
     out, at = [], 0
-    for start, end, kind in find(text):
-        out += [text[at:start], placeholder(text[start:end], kind, key)]
+    for start, end, _, instead in pseudonyms(text, key):
+        out += [text[at:start], instead]
         at = end
     return "".join([*out, text[at:]])
 
 
-def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pii_type, surface): one row per distinct stretch and type of a document."""
-    schema = T.StructType([docs.schema[key], T.StructField("pii_type", T.StringType()), T.StructField("surface", T.StringType())])
+SPANS = (("start", T.IntegerType()), ("pii_type", T.StringType()), ("surface", T.StringType()), ("placeholder", T.StringType()))
+
+
+def spans(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
+    """(key, start, pii_type, surface, placeholder): one row per stretch (start in code points), with what masked() puts in its place; once: one per distinct
+    stretch and type of a document, the first."""
+    schema = T.StructType([docs.schema[key], *[T.StructField(n, t) for n, t in SPANS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, kinds, surfaces = [], [], []
+            at, columns = [], ([], [], [], [])
             for row, t in enumerate(batch.column(1).to_pylist()):
-                for kind, surface in dict.fromkeys((k, t[a:b]) for a, b, k in find(t)):
+                rows = [(a, kind, t[a:b], instead) for a, b, kind, instead in pseudonyms(t, secret)]
+                for values in {r[1:3]: r for r in reversed(rows)}.values() if once else rows:
                     at.append(row)
-                    kinds.append(kind)
-                    surfaces.append(surface)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(kinds, pa.string()), pa.array(surfaces, pa.string())], schema.names)
+                    for c, v in zip(columns, values, strict=True):
+                        c.append(v)
+            made = [pa.array(c, pa.int32() if i == 0 else pa.string()) for i, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *made], schema.names)
 
     return spread(docs.select(key, text)).mapInArrow(run, schema)
 
 
+def found(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pii_type, surface): one row per distinct stretch and type of a document, of the stretches that masked() replaces."""
+    return spans(docs, secret, key, text, once=True).select(key, "pii_type", "surface")
+
+
 def masked(docs: DataFrame, secret: bytes, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns and the text with placeholders. secret keys the pseudonyms: with the same one they stay linked."""
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(text, T.StringType())])
@@ -269,3 +332,20 @@ def masked(docs: DataFrame, secret: bytes, keep: list[str], text: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], schema.names)
 
     return spread(docs.select(*keep, text)).mapInArrow(run, schema)
+
+
+def restored(masked_docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text): the masked texts with the surfaces of spans() put back in their places, in built-in expressions."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "surface", "placeholder"))).alias("spans"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("shift"))
+
+    def step(acc, x):
+        here = x["start"] + acc["shift"]  # where the placeholder stands in the masked text
+        return F.struct(
+            F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, here - acc["at"]), x["surface"]).alias("out"), (here + F.length(x["placeholder"])).alias("at"),
+            (acc["shift"] + F.length(x["placeholder"]) - F.length(x["surface"])).alias("shift"),
+        )
+
+    joined = masked_docs.select(key, text).join(listed, key, "left")
+    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.lit(1 << 30))))
+    return joined.select(key, F.when(F.col("spans").isNull(), F.col(text)).otherwise(done).alias(text))
