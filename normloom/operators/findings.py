@@ -102,3 +102,63 @@ def fan_out(found: DataFrame, hooks: DataFrame) -> DataFrame:
         & (tiers.tier_rank(F.col("access_tier")) <= tiers.tier_rank(F.col("tier")))
     )
     return found.join(ready, fits).drop("kinds", "min_severity", "tier", "active")
+
+
+def judged_conflicts(candidates: DataFrame, judge, ground, min_confidence: float = 0.7, min_grounding: float = 0.6) -> DataFrame:
+    """Critical findings from candidates (standard, law, source, standard_corpus, law_corpus, standard_text, law_text) that the judge calls a contradiction and the grounder
+    supports: kind, severity, status, node_refs (standard, then law), evidence, dedup_key.
+
+    judge(text, text) gives edge_type, confidence and rationale; ground(rationale, both texts) a score, null where the rationale has no support. Scores gate as gate()."""
+    seen = candidates.withColumn("j", judge("standard_text", "law_text")).where("j.edge_type = 'contradiction'")
+    both = F.concat_ws("\n---\n", "standard_text", "law_text")
+    seen = seen.withColumn("grounding_score", ground("j.rationale", both)).withColumn("confidence", F.col("j.confidence")).where(gate(min_confidence, min_grounding))
+    node = lambda corpus, doc: F.struct(F.col(corpus).alias("corpus_id"), F.col(doc).alias("document_id"), F.lit(None).cast("string").alias("section_id"))
+    return seen.select(
+        F.lit("conflict").alias("kind"), F.lit("critical").alias("severity"), F.lit("open").alias("status"), F.array(node("standard_corpus", "standard"), node("law_corpus", "law")).alias("node_refs"),
+        F.struct(F.col("j.rationale").alias("rationale"), "confidence", "grounding_score").alias("evidence"), F.concat_ws(":", F.lit("conflict"), "standard", "law", "source").alias("dedup_key"),
+    )
+
+
+def listed(found: DataFrame, kind: str | None = None, status: str | None = None) -> DataFrame:
+    """Findings of a kind and a status (none or empty: all), the newest first, ties by id; pages come from validity.page()."""
+    for column, value in (("kind", kind), ("status", status)):
+        if value:
+            found = found.where(F.col(column) == value)
+    return found.orderBy(F.desc("detected_at"), "id")
+
+
+def add_resolutions(existing: DataFrame, new: DataFrame, found: DataFrame) -> DataFrame:
+    """Resolutions after appending those (id, finding_id, ...) whose finding exists; an id that exists isn't written again."""
+    good = new.join(found.select(F.col("id").alias("finding_id")), "finding_id", "left_semi").join(existing.select("id"), "id", "left_anti")
+    return existing.unionByName(good.select(*existing.columns))
+
+
+def visible_resolutions(resolutions: DataFrame, found: DataFrame, role: str) -> DataFrame:
+    """Resolutions of the findings that the role may see."""
+    return resolutions.join(found.where(tiers.tier_visible(role, F.col("access_tier"))).select(F.col("id").alias("finding_id")), "finding_id", "left_semi")
+
+
+def review_evidence(actions: DataFrame) -> DataFrame:
+    """The human evidence of promotions: edge_id, kind, confidence 1, created_by."""
+    return actions.where("action = 'promote'").select(F.col("id").alias("edge_id"), F.lit("human").alias("kind"), "seen", F.lit(1.0).alias("confidence"), "created_by")
+
+
+def unknown_actions(edges: DataFrame, actions: DataFrame) -> DataFrame:
+    """Actions on edges that don't exist."""
+    return actions.join(edges.select("id"), "id", "left_anti")
+
+
+def marked_read(notifications: DataFrame, read: DataFrame) -> DataFrame:
+    """notifications (id, read_at) with read_at set for those of read (id, at) that had none; others stay."""
+    one = read.groupBy("id").agg(F.min("at").alias("_at"))
+    return notifications.join(one, "id", "left").withColumn("read_at", F.coalesce("read_at", "_at")).drop("_at")
+
+
+def notifications_of(notifications: DataFrame, unread_only: bool = False) -> DataFrame:
+    """The newest first, ties by falling id."""
+    rows = notifications.where("read_at is null") if unread_only else notifications
+    return rows.orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def active_hooks(hooks: DataFrame) -> DataFrame:
+    return hooks.where("active").orderBy(F.desc("created_at"), "hook_id")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from normloom.functions import text as X
 from normloom.functions import tiers, vectors
 from normloom.functions import validity as V
-from normloom.operators import detect, evals, findings, graph, ingest, parsing, reports, search
+from normloom.operators import detect, evals, findings, graph, ingest, parsing, process, reports, search
 from normloom.operators import validity as fold
 from normloom.plans import domain as D
 from normloom.plans.session import Scratch, table
+from normloom.sources import records
 
 QUERIES: dict = {}
 SQLS: dict[str, str] = {}
@@ -748,6 +749,185 @@ def my_parse(spark, sf):
     return parsing.sections(d, "my")
 
 
+# --- writing and reading the graph ------------------------------------------------------------------------------------
+
+_DOCS_OF = f"(SELECT {D.sql_node_corpus('id')} AS corpus_id, id AS doc_number, 'doc-' || id AS id FROM docs)"
+#: Every edge as the reference of a document's header; 'implements' and 'derives' of two kinds of documents lead somewhere.
+_EXTRACTED = f"""hd AS (SELECT DISTINCT id, source, target, edge_type AS raw FROM graph_edge), hx AS (SELECT {D.sql_node_corpus('source')} AS from_corpus, source AS from_document, trim(target) AS num, id AS seen, lower(trim(raw)) AS verb FROM hd
+  WHERE source IS NOT NULL AND trim(target) <> ''),
+ht AS (SELECT *, CASE WHEN from_corpus = 'local-policy' AND verb = 'implements' THEN 'group-std' WHEN from_corpus = 'local-sop' AND verb IN ('derives', 'derives from') THEN 'local-policy' END AS to_corpus FROM hx),
+ex AS (SELECT from_corpus, from_document, ht.to_corpus, d.id AS to_document, ht.to_corpus || ':' || upper(num) AS ref_key, CASE ht.to_corpus WHEN 'group-std' THEN 'implements' ELSE 'derives' END AS edge_type, seen
+  FROM ht LEFT JOIN {_DOCS_OF} d ON d.corpus_id = ht.to_corpus AND d.doc_number = num WHERE ht.to_corpus IS NOT NULL)"""
+
+
+def _extracted(spark, sf) -> DataFrame:
+    raw = table(spark, sf, "graph_edge").where("source is not null").select("id", "source", "target", "edge_type").distinct()
+    ref = F.struct(F.col("edge_type").alias("relation"), F.col("target").alias("target_number"), F.lit(" ").alias("target_title"), F.col("id").alias("quoted_span"))
+    headers = raw.select(D.node_corpus(F.col("source")).alias("corpus_id"), F.col("source").alias("doc_id"), F.lit("owner").alias("owner"), F.array(ref).alias("refs"))
+    docs = D.documents(spark, sf).select(D.node_corpus(F.col("id")).alias("corpus_id"), F.col("id").alias("doc_number"), F.concat(F.lit("doc-"), "id").alias("id"))
+    return graph.extract_edges(headers, docs, graph_pairs(spark)).withColumn("seen", F.col("quoted_from"))
+
+
+@query(f", {_EXTRACTED} SELECT from_corpus, from_document, to_corpus, to_document, ref_key, edge_type, seen FROM ex")
+def extract_edges(spark, sf):
+    return _extracted(spark, sf).select("from_corpus", "from_document", "to_corpus", "to_document", "ref_key", "edge_type", "seen")
+
+
+_KEY = "from_corpus, from_document, ref_key, edge_type"
+_EDGE_ID = "left(sha256(from_corpus || chr(0) || from_document || chr(0) || ref_key || chr(0) || edge_type), 32)"
+
+
+def _written(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges and evidence after two passes over the same headers: the first half promoted, then all."""
+    new = _extracted(spark, sf)
+    none = new.select(graph.edge_id().alias("id"), *graph.EDGE_KEY, "to_corpus", "direction", F.lit(False).alias("promoted"), "seen").limit(0)
+    old = graph.write_edges(none, new.where(F.substring("from_document", 2, 1) < "8")).withColumn("promoted", F.lit(True))
+    judged = new.where(F.substring("seen", 1, 1) < "4").withColumns({"confidence": F.lit(0.8), "grounding_score": F.lit(0.9)})
+    first = graph.extracted_evidence(new)
+    evidence = graph.write_evidence(graph.write_evidence(first.limit(0), first), graph.model_evidence(judged).unionByName(first))
+    return new, graph.write_edges(old, new), evidence
+
+
+@query(f", {_EXTRACTED} SELECT {_EDGE_ID} AS id, edge_type, substr(from_document, 2, 1) < '8' AS promoted, min(seen) AS seen FROM ex GROUP BY {_KEY}")
+def write_edges(spark, sf):
+    return _written(spark, sf)[1].select("id", "edge_type", "promoted", "seen")
+
+
+@query(f", {_EXTRACTED}, k AS (SELECT *, {_EDGE_ID} AS id FROM ex), v AS (SELECT id, 'extracted' AS kind, min(seen) AS seen, 1.0::DOUBLE AS confidence FROM k GROUP BY 1 UNION ALL SELECT id, 'model_classification', min(seen), 0.8::DOUBLE FROM k WHERE substr(seen, 1, 1) < '4' GROUP BY 1) SELECT id, count(*) AS n_evidence, string_agg(kind || ' ' || seen, ', ' ORDER BY seen, kind) AS listed, max(confidence) AS best FROM v GROUP BY 1")
+def edge_evidence(spark, sf):
+    _, e, evidence = _written(spark, sf)
+    out = graph.with_evidence(e, evidence)
+    one = F.transform("evidence", lambda x: F.concat_ws(" ", x["kind"], x["seen"]))
+    return out.select("id", F.size("evidence").cast("bigint").alias("n_evidence"), F.array_join(one, ", ").alias("listed"), F.array_max(F.transform("evidence", lambda x: x["confidence"])).alias("best"))
+
+
+@query(f"SELECT r.role, count(*) AS n FROM edges e JOIN (VALUES ('public', 0), ('group', 1), ('local', 2)) r(role, rank) ON {D.sql_rank(_EDGE_TIER)} <= r.rank GROUP BY 1")
+def evidence_policy(spark, sf):
+    e = _tiered_edges(spark, sf)
+    evidence = e.select(F.col("id").alias("edge_id"), "confidence")
+    seen = [graph.visible_evidence(evidence, e, role).select(F.lit(role).alias("role")) for role in tiers.ROLES]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).groupBy("role").agg(F.count("*").alias("n"))
+
+
+_LABELLED = f"(SELECT id, {D.sql_node_corpus('id')} || ':' || upper(id) AS ref_key, nullif(trim(title), '') AS label FROM docs)"
+
+
+@query(f""", {_UP}, ue AS (SELECT source, id, confidence, grounding_score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at, id) AS r FROM edges WHERE target IS NOT NULL AND edge_type IN ('derives', 'satisfies', 'implements')) WHERE r = 1), {_CHAIN[len(_UP) + 4:]},
+hp AS (SELECT start, unnest(list_zip(seen[1:len(hops)], hops, range(1, len(hops) + 1))) AS h FROM ends WHERE depth > 0),
+hh AS (SELECT start, h[3] AS hop_no, h[1] AS source, split_part(h[2], ' ', 1) AS edge_type, split_part(h[2], ' ', 2) AS target FROM hp)
+SELECT start, CAST(hop_no AS INTEGER) AS hop_no, hh.target, edge_type, coalesce(l.label, l.ref_key) AS citation, round(ue.confidence, 9) AS confidence, round(ue.grounding_score, 9) AS grounding_score FROM hh LEFT JOIN ue ON ue.source = hh.source LEFT JOIN {_LABELLED} l ON l.id = hh.target""", recursive=True)
+def hop_citations(spark, sf):
+    e = D.edges(spark, sf).where("target is not null")
+    refs = D.documents(spark, sf).select(F.col("id").alias("document_id"), graph.ref_key(D.node_corpus(F.col("id")), F.col("id")).alias("ref_key"), F.trim("title").alias("label"))
+    evidence = e.select(F.col("id").alias("edge_id"), "confidence", "grounding_score", F.lit(1).alias("seen"))
+    rows = graph.hop_rows(_chains(spark, sf), e, refs, evidence)
+    return rows.select("start", "hop_no", "target", "edge_type", "citation", F.round("confidence", 9).alias("confidence"), F.round("grounding_score", 9).alias("grounding_score"))
+
+
+@query(f"SELECT r.role, count(*) AS n FROM {_LABELLED} l JOIN (VALUES ('public', 0), ('group', 1), ('local', 2)) r(role, rank) ON {D.sql_rank(D.sql_tier(D.sql_node_corpus('l.id')))} <= r.rank GROUP BY 1")
+def reference_policy(spark, sf):
+    refs = D.documents(spark, sf).select("id", D.node_corpus(F.col("id")).alias("corpus_id"))
+    seen = [graph.visible_references(refs, role).select(F.lit(role).alias("role")) for role in tiers.ROLES]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).groupBy("role").agg(F.count("*").alias("n"))
+
+
+# --- citations, conflicts, notifications, process ----------------------------------------------------------------------
+
+#: Sections of the documents of one first digit are a case's hits; its expectations are citations of its own and of other documents.
+_CITED = f"""ht AS (SELECT substr(document_id, 1, 1) AS case_id, id, substr(document_id, 1, 8) AS num, citation_path, heading_path, validity_status = 'in_force' AS current, row_number() OVER (PARTITION BY substr(document_id, 1, 1) ORDER BY id) AS rank FROM secs WHERE document_id IS NOT NULL),
+hk AS (SELECT * FROM ht WHERE rank <= 60),
+xp AS (SELECT case_id, id AS no, upper(num) AS num, coalesce(citation_path, '') AS seg FROM ht WHERE rank % 7 = 0 AND rank <= 90),
+mt AS (SELECT x.case_id, x.no, h.rank FROM xp x JOIN hk h USING (case_id) WHERE contains(lower(nfc_normalize(h.num || ' ' || coalesce(h.citation_path, '') || ' ' || coalesce(h.heading_path, ''))), lower(nfc_normalize(x.num)))
+  AND contains(lower(nfc_normalize(coalesce(h.citation_path, '') || ' ' || coalesce(h.heading_path, ''))), lower(nfc_normalize(x.seg)))),
+m1 AS (SELECT case_id, count(DISTINCT no) AS n_found, min(rank) AS first, count(DISTINCT rank) AS n_right FROM mt GROUP BY 1), w1 AS (SELECT case_id, count(*) AS n_want FROM xp GROUP BY 1), h1 AS (SELECT case_id, count(*) AS n_hits FROM hk GROUP BY 1)"""
+
+
+@query(f", {_CITED} SELECT case_id, coalesce(n_want, 0) AS n_want, coalesce(n_found, 0) AS n_found, round(coalesce(n_found, 0) / n_want, 9) AS recall, CASE WHEN n_want > 0 THEN round(coalesce(1.0 / first, 0), 9) END AS reciprocal_rank, round(coalesce(n_right, 0) / n_hits, 9) AS precision FROM w1 FULL JOIN h1 USING (case_id) LEFT JOIN m1 USING (case_id)")
+def eval_citations(spark, sf):
+    order = Window.partitionBy("case_id").orderBy("id")
+    s = D.sections(spark, sf).where("document_id is not null").withColumn("case_id", F.substring("document_id", 1, 1)).withColumn("rank", F.row_number().over(order))
+    s = s.withColumn("doc_number", F.substring("document_id", 1, 8))
+    hits = s.where("rank <= 60").select("case_id", "rank", "doc_number", "citation_path", "heading_path", (F.col("validity_status") == "in_force").alias("current"))
+    expected = s.where("rank % 7 = 0 and rank <= 90").select("case_id", F.upper("doc_number").alias("doc_number"), F.array(F.coalesce("citation_path", F.lit(""))).alias("segments"))
+    out = evals.retrieval_by_citation(expected, hits)
+    return out.select("case_id", "n_want", "n_found", F.round("recall", 9).alias("recall"), F.round("reciprocal_rank", 9).alias("reciprocal_rank"), F.round("precision", 9).alias("precision"))
+
+
+@query("SELECT count(*) AS n_cases, round(avg((ek = k)::INT), 9) AS abstention_accuracy, count(*) FILTER (WHERE ek = 'answer' AND k = 'answer') AS n_cited, round(count(*) FILTER (WHERE ek = 'answer' AND k = 'answer' AND (want IS NULL OR contains(path, want))) / n_cited, 9) AS citation_correctness FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'abstain' ELSE 'answer' END AS ek, CASE WHEN o_orderkey % 7 = 0 THEN 'abstain' ELSE 'answer' END AS k, CASE WHEN o_orderkey % 3 > 0 THEN left(o_orderpriority, 1) END AS want, o_orderstatus || o_custkey AS path FROM orders)")
+def eval_answers(spark, sf):
+    k = F.col("o_orderkey")
+    kind = lambda n: F.when(k % n == 0, "abstain").otherwise("answer")
+    cases = table(spark, sf, "orders").select(kind(5).alias("expected_kind"), kind(7).alias("kind"), F.when(k % 3 > 0, F.left("o_orderpriority", F.lit(1))).alias("expected_contains"), F.array(F.concat("o_orderstatus", F.col("o_custkey").cast("string"))).alias("citations"))
+    return evals.answers(cases)
+
+
+_PAIRED = ", a AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'satisfies' AND target IS NOT NULL), b AS (SELECT DISTINCT source, target FROM edges WHERE edge_type = 'implements' AND target IS NOT NULL)"
+
+
+@query(f"{_PAIRED} SELECT 'conflict:' || b.target || ':' || a.target || ':' || source AS dedup_key, 'critical' AS severity, b.target AS first_node, a.target AS second_node FROM a JOIN b USING (source) WHERE left(a.target, 1) < left(b.target, 1) AND right(a.target, 1) >= '4'")
+def conflict_detect(spark, sf):
+    """The candidates under a judge that calls a law that sorts before its standard a contradiction, and a grounder that supports some."""
+    c = findings.conflicts(D.edges(spark, sf).where("target is not null")).withColumns({"standard_text": F.col("standard"), "law_text": F.col("law"), "standard_corpus": F.lit("group-std"), "law_corpus": F.lit("vn-reg")})
+    judge = lambda a, b: F.struct(F.when(F.left(b, F.lit(1)) < F.left(a, F.lit(1)), "contradiction").otherwise("satisfies").alias("edge_type"), F.lit(0.85).alias("confidence"), F.col(b).alias("rationale"))
+    ground = lambda rationale, both: F.when(F.right(F.col(rationale), F.lit(1)) >= "4", 0.9)
+    f = findings.judged_conflicts(c, judge, ground)
+    return f.select("dedup_key", "severity", F.col("node_refs")[0]["document_id"].alias("first_node"), F.col("node_refs")[1]["document_id"].alias("second_node"))
+
+
+@query(f", {_NODES}, g AS ({_gap_sql()}) SELECT dedup_key AS id, detail AS kind FROM g WHERE detail = 'no_satisfies' ORDER BY right(node, 6) DESC, dedup_key LIMIT 21")
+def findings_list(spark, sf):
+    g = _gaps(spark, sf).select(F.col("dedup_key").alias("id"), F.col("detail").alias("kind"), F.right("node", F.lit(6)).alias("detected_at"), F.lit("open").alias("status"))
+    return fold.page(findings.listed(g, kind="no_satisfies", status="open"), [("detected_at", True), ("id", False)], 20).select("id", "kind")
+
+
+@query("SELECT CAST(e.event_id AS VARCHAR) AS id, CASE WHEN e.event_id % 4 = 0 THEN e.ts WHEN e.event_id % 3 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS read_at FROM events e")
+def notifications_read(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 4 == 0, F.col("ts")).alias("read_at"), "event_id")
+    at = e.where("event_id % 3 = 0").select("id", F.expr("TIMESTAMP '2024-02-01 00:00:00'").cast(e.schema["read_at"].dataType).alias("at"))
+    return findings.marked_read(e, at.unionByName(at)).select("id", "read_at")
+
+
+_OUTCOMES = _QUALITY[: _QUALITY.index("SELECT doc_id, n_chars, letters, wide_letters, bad, blanks, private_use, mojibake, cyrillic, round(confidence")]
+
+
+@query(f"{_OUTCOMES}, q4 AS (SELECT doc_id, confidence >= 0.6 AND NOT coalesce(s2 OR s4 OR s5 OR s6 OR bad / n_chars >= 0.01, true) AS ok FROM q3) SELECT d.source, count(*) FILTER (WHERE o = 'skipped') AS skipped, count(*) FILTER (WHERE o = 'failed') AS failed, count(*) FILTER (WHERE o = 'out_of_scope') AS out_of_scope, count(*) FILTER (WHERE o = 'low_quality') AS low_quality, count(*) FILTER (WHERE o = 'indexed') AS indexed FROM (SELECT d.source, CASE WHEN d.doc_id % 5 = 0 THEN 'skipped' WHEN trim(coalesce(text, '')) = '' THEN 'failed' WHEN coalesce(lang, '') = 'ms' THEN 'out_of_scope' WHEN NOT ok THEN 'low_quality' ELSE 'indexed' END AS o FROM documents d JOIN q4 USING (doc_id)) d GROUP BY 1")
+def process_outcomes(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("external_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), "text", "lang", "source", "doc_id")
+    ledger = d.where("doc_id % 5 in (0, 1)").select("external_id", "content_hash", F.when(F.col("doc_id") % 5 == 0, "indexed").otherwise("failed").alias("state"))
+    out = process.outcomes(d, ledger, in_scope=F.coalesce("lang", F.lit("")) != "ms", expects_marks=F.coalesce("lang", F.lit("vi")) == "vi")
+    return process.counters(out, ["source"])
+
+
+_GRAMMAR_PAGE = """[{"id":"a1","docNum":"1/2024/TT-A","title":"T","docAbs":null,"docType":{"name":"Thông tư","code":"TT"},"agencyName":"A","effStatus":{"code":"CHL"},"issueDate":"2024-01-05T00:00:00","effFrom":"2024-02-01","effTo":null,"hasContent":true},{"id":"","docNum":"x"},{"id":"b2","effStatus":{"code":"TDHL"},"issueDate":"?"}]"""
+_ACTS_PAGE = """{"recordsTotal":3,"records":[{"lgt_act_id":"7","lgt_act_no":"12","title":"<a href=\\"x?act=7&lang=BI&t\\">* Banking <b>Act</b> 1989</a><i>As At</i> <i>05-03-2021</i>","doc2downloadgeneratepdf":"[{\\"path\\":\\"/7_BM/\\",\\"docName\\":\\"bm.pdf\\",\\"icon\\":\\"m\\"},{\\"path\\":\\"/7_BI/\\",\\"docName\\":\\"Act 12.pdf\\",\\"icon\\":\\"e\\"}]"},{"lgt_act_id":"8","lgt_act_no":"13","title":"plain","doc2downloadgeneratepdf":""},{"lgt_act_id":""}]}"""
+
+
+@query("SELECT * FROM (VALUES ('a1', '1/2024/TT-A', 'Thông tư', 'in_force', DATE '2024-01-05', DATE '2024-02-01'), ('b2', NULL, NULL, 'repealed', NULL, NULL)) v(external_id, number, doc_type, validity_status, issued, effective)")
+def portal_pages(spark, sf):
+    pages = spark.createDataFrame([(_GRAMMAR_PAGE,), ("{broken",), (None,)], "content string")
+    r = records.portal_records(pages)
+    return r.select("external_id", "number", "doc_type", V.map_validity(F.col("status"), F.col("effective"), F.expr(MOMENT)).alias("validity_status"), "issued", "effective")
+
+
+@query("SELECT * FROM (VALUES ('7', 'Act 12', 'Banking Act 1989', DATE '2021-03-05', 'https://site.test/ilims/7_BI/Act%2012.pdf'), ('8', 'Act 13', '', NULL, NULL)) v(external_id, number, title, issued, file_url)")
+def act_pages(spark, sf):
+    r = records.act_records(spark.createDataFrame([(_ACTS_PAGE,), ("[]",), (None,)], "content string"), "https://site.test/")
+    return r.select("external_id", "number", "title", "issued", F.col("file.url").alias("file_url"))
+
+
+_SLUGS = [
+    ("https://x.test/van-ban/quyet-dinh-so-840-qd-ttg-12345.htm?a=1", "12345", "840/QĐ-TTG", "Quyết định"), ("/thong-tu-lien-tich-so-5-2019-ttlt-nhnn-77.htm", "77", "5/2019/TTLT-NHNN", "Thông tư liên tịch"),
+    ("nghi-dinh-12-2020-nd-cp-9.htm", "9", "12/2020/NĐ-CP", "Nghị định"), ("luat-so-46-8.htm", "8", "46", "Luật"), ("https://x.test/trang-chu/", None, "TRANG/CHU", None), ("", None, None, None),
+]
+_SLUG_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in _SLUGS)
+
+
+@query(f"SELECT * FROM (VALUES {_SLUG_VALUES}) v(url, id, number, doc_type)")
+def gazette_slugs(spark, sf):
+    urls = spark.createDataFrame([(row[0],) for row in _SLUGS], "url string").withColumn("p", records.slug_parts(F.col("url")))
+    return urls.select("url", "p.id", records.slug_number(F.col("p.slug")).alias("n")).select("url", "id", "n.number", "n.doc_type")
+
+
 # --- extensions over events -------------------------------------------------------------------------------------------
 
 

@@ -93,3 +93,86 @@ def since(records: DataFrame, watermark: Column, keyword: str = "") -> DataFrame
     """Records issued after the watermark, undated ones too, that hold the keyword in number or title."""
     out = records.where(F.col("issued").isNull() | (F.col("issued") > watermark))
     return out.where(F.lower(F.concat_ws(" ", "number", "title")).contains(keyword.lower())) if keyword else out
+
+
+# --- the sources' own codes ---------------------------------------------------------------------------------------------
+
+#: The law portal's codes of relations.
+RELATION_CODES = {3: "legal_basis", 10: "amends_supplements", 12: "replaces"}
+#: The gazette's slugs of document types, a longer one before its beginning, and abbreviations with letters that slugs don't have.
+SLUG_TYPES = {
+    "van-ban-hop-nhat": "Văn bản hợp nhất", "nghi-quyet": "Nghị quyết", "nghi-dinh": "Nghị định", "quyet-dinh": "Quyết định", "thong-tu-lien-tich": "Thông tư liên tịch", "thong-tu": "Thông tư", "chi-thi": "Chỉ thị",
+    "cong-van": "Công văn", "cong-dien": "Công điện", "phap-lenh": "Pháp lệnh", "sac-lenh": "Sắc lệnh", "lenh": "Lệnh", "luat": "Luật", "hien-phap": "Hiến pháp", "thong-bao": "Thông báo", "ke-hoach": "Kế hoạch",
+    "quy-dinh": "Quy định", "quy-che": "Quy chế",
+}
+SLUG_CODES = {"qd": "QĐ", "nd": "NĐ"}
+
+
+def relation_label(code: Column) -> Column:
+    """The label of a relation code; unknown codes get one of their own."""
+    out = F.when(F.lit(False), F.lit(""))
+    for number, label in RELATION_CODES.items():
+        out = out.when(code == number, F.lit(label))
+    return F.when(code.isNotNull(), out.otherwise(F.concat(F.lit("vbpl_type_"), code.cast("string"))))
+
+
+def slug_parts(url: Column) -> Column:
+    """struct(id, slug) of a detail page: the number before '.htm' at the end, null without one, and the rest of the last path element."""
+    last = F.regexp_extract(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", ""), r"([^/]*)$", 1)
+    number = F.nullif(F.regexp_extract(last, r"-(\d+)\.htm$", 1), F.lit(""))
+    return F.struct(number.alias("id"), F.when(number.isNull(), F.regexp_replace(last, r"\.htm$", "")).otherwise(F.regexp_replace(last, r"-\d+\.htm$", "")).alias("slug"))
+
+
+def slug_number(slug: Column) -> Column:
+    """struct(number, doc_type) that a gazette slug states: the type by its beginning; the number behind '-so-', else behind the type: sequence, year where there is one,
+    and code, joined by '/'. Empty values are null."""
+    clean = F.lower(F.trim(slug))
+    kind, behind = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
+    for prefix, name in SLUG_TYPES.items():
+        hit = clean.rlike(f"^{prefix}(-|$)")
+        kind, behind = kind.when(hit, F.lit(name)), behind.when(hit, F.regexp_replace(clean, f"^{prefix}-?", ""))
+    rest = F.when(clean.contains("-so-"), F.regexp_replace(clean, "^.*?-so-", "")).otherwise(F.coalesce(behind, clean))
+    parts = F.filter(F.split(F.regexp_replace(rest, "^-+|-+$", ""), "-"), lambda p: F.lit(True))
+    upper = lambda p: F.when(p == "qd", SLUG_CODES["qd"]).when(p == "nd", SLUG_CODES["nd"]).otherwise(F.upper(p))
+    dated = F.coalesce(F.get(parts, 1).rlike(r"^(19|20)\d\d$"), F.lit(False))
+    tail = F.array_join(F.transform(F.slice(parts, F.when(dated, 3).otherwise(2), F.greatest(F.size(parts), F.lit(1))), upper), "-")
+    number = F.concat_ws("/", upper(F.get(parts, 0)), F.when(dated, F.get(parts, 1)), F.nullif(tail, F.lit("")))
+    return F.struct(F.nullif(number, F.lit("")).alias("number"), kind.alias("doc_type"))
+
+
+ACT_PAGE = "struct<recordsTotal:int,records:array<struct<lgt_act_id:string,lgt_act_no:string,title:string,doc2downloadgeneratepdf:string>>>"
+ACT_FILES = "array<struct<path:string,docName:string,icon:string>>"
+
+
+def act_records(pages: DataFrame, base_url: str, body: str = "content") -> DataFrame:
+    """One row per act of the act list's JSON pages: external_id, number ('Act 12'), title (of the English link, without the mark of a revision), issued (the date
+    as at which it was reprinted), detail_url and file (struct(name, url) of the English reprint, null without one). Broken pages and acts without an id give no rows."""
+    records = pages.select(F.explode(F.from_json(body, ACT_PAGE)["records"]).alias("r")).where("r.lgt_act_id <> ''")
+    base = base_url.rstrip("/")
+    link = F.regexp_extract("r.title", r'(?is)<a[^>]*\bact=\d+&lang=BI[^"]*">(.*?)</a>', 1)
+    title = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(link, r"(?s)<[^>]+>", " "), r"\s+", " ")), r"^[* ]+", "")
+    dated = F.try_to_timestamp(F.regexp_extract("r.title", r"(?is)As At\s*</i>\s*<i>\s*(\d{2}-\d{2}-\d{4})", 1), F.lit("dd-MM-yyyy")).cast("date")
+    english = F.get(F.filter(F.from_json("r.doc2downloadgeneratepdf", ACT_FILES), lambda f: f["path"].contains("_BI/") | f["icon"].contains("-en-")), 0)
+    escaped = F.replace(F.url_encode(english["docName"]), F.lit("+"), F.lit("%20"))
+    file = F.when(english.isNotNull(), F.struct(english["docName"].alias("name"), F.concat(F.lit(f"{base}/ilims"), english["path"], escaped).alias("url")))
+    return records.select(
+        F.col("r.lgt_act_id").alias("external_id"), F.concat(F.lit("Act "), F.coalesce("r.lgt_act_no", F.lit(""))).alias("number"), title.alias("title"), dated.alias("issued"),
+        F.concat(F.lit(f"{base}/act-detail.php?act="), "r.lgt_act_id", F.lit("&lang=BI")).alias("detail_url"), file.alias("file"),
+    )
+
+
+PORTAL_PAGE = (
+    "struct<id:string,docNum:string,title:string,docAbs:string,docType:struct<name:string,code:string>,agencyName:string,effStatus:struct<name:string,code:string>,"
+    "issueDate:string,effFrom:string,effTo:string,hasContent:boolean,isConsolidatedDocument:boolean>"
+)
+
+
+def portal_records(pages: DataFrame, body: str = "content") -> DataFrame:
+    """One row per document of the law portal's list pages (a JSON array each): external_id, number, title, abstract, doc_type, issuer, status (the code), issued, effective, expires (dates; other
+    writings are null), has_content, consolidated. Broken pages give no rows; of a document on several pages the rows stay."""
+    each = pages.select(F.explode(F.from_json(body, f"array<{PORTAL_PAGE}>")).alias("r")).where("r.id <> ''")
+    day = lambda c: F.left(F.col(f"r.{c}"), F.lit(10)).try_cast("date")
+    return each.select(
+        F.col("r.id").alias("external_id"), F.col("r.docNum").alias("number"), "r.title", F.col("r.docAbs").alias("abstract"), F.col("r.docType.name").alias("doc_type"), F.col("r.agencyName").alias("issuer"),
+        F.col("r.effStatus.code").alias("status"), day("issueDate").alias("issued"), day("effFrom").alias("effective"), day("effTo").alias("expires"), F.col("r.hasContent").alias("has_content"), F.col("r.isConsolidatedDocument").alias("consolidated"),
+    )
