@@ -77,16 +77,18 @@ MALAY = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’\-@._])(?:{WORD} ){{1,3}}{PATR
 TITLED = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Encik|En|Puan|Pn|Cik|Tuan|Dato'|Datuk|Datin|[ôÔ]ng|[bB]à)\.? ({_NAME})(?![\p{{L}}\p{{M}}@_])")
 LABELLED = regex.compile(rf"(?:(?<![\p{{L}}])(?:Full name|Name|Nama(?: penuh)?|Họ(?: và)? tên|Tên)\s?:\s?|(?:prepared|signed|drafted|filed|witnessed|submitted) by |(?:disediakan|ditandatangani|disaksikan|dikemukakan) oleh |(?:trình bày|đơn|ý kiến) của |[bB]iên bản do )({_NAME})(?![\p{{L}}\p{{M}}@_])")
 #: Words for what persons do, right behind a name: the context that makes two capitalised words a person.
-ACTS = (
-    "asked requested applied appealed objected met attended signed wrote called said stated confirmed complained reported visited emailed phoned replied paid bought sold lives works joined resigned "
-    "memohon meminta merayu hadir menandatangani menulis menelefon berkata menyatakan mengesahkan melaporkan membayar tinggal bekerja đề nghị|yêu cầu|kiến nghị|khiếu nại|trình bày|gửi đơn|ký tên|xác nhận|cho biết|tham dự|phản ánh"
-).replace(" đề nghị", "|đề nghị")
-ACTS = "|".join(w for part in ACTS.split("|") for w in (part.split() if part.isascii() else [part]))
-ACTING = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’\-@._])((?:\p{{Lu}}\. ?|\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+ )(?:\p{{Lu}}\. ?)?\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+) (?:asked|requested|applied|appealed|objected|memohon|meminta|merayu|đề nghị|yêu cầu|kiến nghị|khiếu nại)(?![\p{{L}}])")
+ACTS = "|".join((
+    *"asked requested applied appealed objected met attended signed wrote called said stated confirmed complained reported visited emailed phoned replied paid bought sold lives works joined resigned".split(),
+    *"memohon meminta merayu hadir menandatangani menulis menelefon berkata menyatakan mengesahkan melaporkan membayar tinggal bekerja".split(),
+    "đề nghị", "yêu cầu", "kiến nghị", "khiếu nại", "trình bày", "gửi đơn", "ký tên", "xác nhận", "cho biết", "tham dự", "phản ánh",
+))
+ACTING = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’\-@._])((?:\p{{Lu}}\. ?|\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+ )(?:\p{{Lu}}\. ?)?\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+) (?:{ACTS})(?![\p{{L}}])")
 #: A common given name and one or two capitalised names behind it.
 NAMED = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’\-@._])(\p{{Lu}}\p{{Ll}}+)((?: \p{{Lu}}\.)?(?: \p{{Lu}}[\p{{L}}\p{{M}}'’\-]+){{1,2}})(?![\p{{L}}\p{{M}}\d@_])")
 #: Capitalised words that begin sentences or headings and are no names.
 NO_NAME = frozenset("the each an in where for subject section seksyen form borang release keluaran case kes batch điều mục theo trong ngoài trước khi đối bên cơ người tổ ban bộ nhóm hội đơn đại chi căn mã thẻ phiên mức gửi biên giấy".split())
+#: Words of offices and bodies, which act like persons.
+NO_NAME |= frozenset("committee office function board department bank team unit council authority ministry company group panel branch agency commission institution member regulator division section jawatankuasa jabatan lembaga bahagian kementerian syarikat".split())
 _FOLD = str.maketrans("đĐ", "dD")
 
 
