@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from normloom.operators import detect, evals, findings, graph, ingest, parsing, reports, search
+from normloom.operators import detect, evals, findings, graph, ingest, parsing, process, reports, search
 from normloom.operators import validity as fold
 
 T = lambda d: datetime(2024, 1, d)
@@ -231,3 +231,58 @@ def test_every_document_meets_one_parser(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     vn, my = ({r["doc_id"] for r in reference.queries()[q](spark, str(tmp_path)).collect()} for q in ("vn_parse", "my_parse"))
     assert vn == {0, 4, 5, 6} and my == {1, 2, 3, 7}
+
+
+def test_header_references_become_edges(spark, rows):
+    from normloom.functions import tiers
+
+    refs = "array<struct<relation:string,target_number:string,target_title:string,quoted_span:string>>"
+    headers = spark.createDataFrame(
+        [("local-policy", "p1", "ann", [("Implements ", " STD-1 ", None, "q1"), ("implements", "", "By title", "q2"), ("cites", "STD-1", None, "q3"), ("implements", None, " ", "q4"), ("derives", "STD-1", None, "q5")]),
+         ("local-sop", "s1", None, [("derives from", "POL-1", "Policy", "q6")]), ("reports", "r1", None, [("implements", "STD-1", None, "q7")]), ("local-sop", "s2", None, None), ("local-sop", "s3", None, [])],
+        f"corpus_id string, doc_id string, owner string, refs {refs}",
+    )
+    docs = spark.createDataFrame([("group-std", "STD-1", "d9"), ("group-std", "STD-1", "d2"), ("my-reg", "POL-1", "x"), ("group-std", None, "n")], "corpus_id string, doc_number string, id string")
+    new = graph.extract_edges(headers, docs, tiers.edge_pairs(spark))
+    assert rows(new.select("from_document", "to_corpus", "to_document", "ref_key", "edge_type", "created_by")) == [
+        ("p1", "group-std", "d2", "group-std:STD-1", "implements", "ann"), ("p1", "group-std", None, "group-std:BY TITLE", "implements", "ann"), ("s1", "local-policy", None, "local-policy:POL-1", "derives", None),
+    ]
+    new = new.withColumn("seen", F.col("quoted_from"))
+    none = new.select(graph.edge_id().alias("id"), *graph.EDGE_KEY, "to_corpus", "direction", F.lit(False).alias("promoted"), "seen").limit(0)
+    once = graph.write_edges(none, new.unionByName(new))
+    again = graph.write_edges(once.withColumn("promoted", F.lit(True)), new)
+    assert once.count() == 3 == again.count() and {r["promoted"] for r in again.collect()} == {True} and rows(once.select("id")) == rows(again.select("id"))
+    with pytest.raises(Exception, match="no edge may lead"):
+        graph.write_edges(none, new.withColumn("to_corpus", F.lit("reports"))).collect()
+    ev = graph.extracted_evidence(new)
+    assert graph.write_evidence(graph.write_evidence(ev.limit(0), ev), ev.withColumn("confidence", F.lit(0.1))).where("confidence = 1").count() == 3
+    assert [len(r["evidence"]) for r in graph.with_evidence(once, ev.limit(0)).collect()] == [0, 0, 0]
+
+
+def test_citations_and_answers(spark):
+    exp = spark.createDataFrame([("a", "12/2024/tt", ["Điều 5"]), ("a", "12/2024/TT", None), ("b", "X", []), ("c", None, ["y"])], "case_id string, doc_number string, segments array<string>")
+    hits = spark.createDataFrame([("a", 1, "9/2024/TT", "dieu-5", "Điều 5", True), ("a", 2, "12/2024/TT", "dieu-5", "Điều 5".replace("ề", "ê\u0300"), True), ("a", 3, None, None, "12/2024/TT", False), ("d", 1, "q", None, None, True)], "case_id string, rank int, doc_number string, citation_path string, heading_path string, current boolean")
+    got = {r["case_id"]: (r["n_found"], r["recall"], r["reciprocal_rank"], r["precision"], r["in_force_precision"]) for r in evals.retrieval_by_citation(exp, hits).collect()}
+    assert got["a"] == (2, 1.0, 0.5, 2 / 3, 1.0) and got["b"] == (0, 0.0, 0.0, None, None) and got["d"][1] is None and got["d"][3] == 0.0
+    qa = spark.createDataFrame([("answer", "answer", "5", ["dieu-5"]), ("answer", "answer", "7", ["dieu-5"]), ("answer", "answer", None, None), ("abstain", "abstain", None, []), ("abstain", "answer", "x", [])], "expected_kind string, kind string, expected_contains string, citations array<string>")
+    assert tuple(evals.answers(qa).first()) == (5, 0.8, 3, round(2 / 3, 9)) and tuple(evals.answers(qa.limit(0)).first()) == (0, 1.0, 0, 1.0)
+
+
+def test_process(spark, rows):
+    good = "Văn bản tiếng Việt đầy đủ dấu và đủ dài để dùng. " * 5
+    data = [("a", "h", good), ("b", "h", good), ("c", "h", None), ("d", "h", " "), ("e", "h", "ngắn"), ("f", "h", good), ("g", "h2", good)]
+    r = spark.createDataFrame([(*d, "clash") for d in data], "external_id string, content_hash string, text string, outcome string")
+    ledger = spark.createDataFrame([("a", "h", "indexed"), ("a", "h", "indexed"), ("b", "h", "failed"), ("g", "h", "indexed")], "external_id string, content_hash string, state string")
+    out = process.outcomes(r, ledger, in_scope=F.col("external_id") != "f")
+    assert rows(out.select("external_id", "outcome")) == [("a", "skipped"), ("b", "indexed"), ("c", "failed"), ("d", "failed"), ("e", "low_quality"), ("f", "out_of_scope"), ("g", "indexed")]
+    assert process.outcomes(r.limit(0), ledger).collect() == []
+    rel = "array<struct<label:string,target_number:string>>"
+    rec = spark.createDataFrame([("x", T(3), T(1), [("amends", " n1 "), ("cites", "n1"), ("replaces", " ")]), ("y", None, T(2), [("repeals", "n2")]), ("z", None, None, None)], f"external_id string, effective_date timestamp, issued_date timestamp, relations {rel}")
+    events = process.relation_events(rec)
+    assert rows(events) == [("x", "n1", "amended", T(3)), ("y", "n2", "repealed", T(2))]
+    resolved, pending = process.with_targets(events, spark.createDataFrame([("d1", "n1")], "id string, doc_number string"))
+    assert rows(resolved.select("external_id", "target_id")) == [("x", "d1")] and rows(pending.select("external_id")) == [("y",)]
+    assert rows(process.with_targets(pending, spark.createDataFrame([("d2", "n2")], "id string, doc_number string"))[0].select("target_id")) == [("d2",)]  # once its target has come in
+    docs = spark.createDataFrame([("vn-reg", "1", None, "HHL", ""), ("my-reg", "", "u", None, None), ("odd", "1", None, None, "ms"), ("vn-reg", " ", "", None, None)], "corpus_id string, number string, url string, status string, language string").withColumn("effective_date", F.lit(None).cast("date"))
+    got = [(r["error"], r["language"], r["validity_status"]) for r in process.documents(docs, F.current_date()).collect()]
+    assert got == [(None, "vi", "repealed"), (None, "en", "in_force"), ("unregistered corpus", "ms", "in_force"), ("neither number nor url", "vi", "in_force")]
