@@ -1,7 +1,9 @@
 import itertools
+import threading
 import unicodedata
 
 import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,6 +52,25 @@ def test_letters_by_rule(spark):
     assert all(k.isupper() == v.isupper() for k, v in L._confusables(spark).items())
 
 
+def test_missing_letters_are_an_error(spark):
+    """A JVM without ICU doesn't pass for one that knows no look-alikes, and neither does a thread without an active session."""
+    class Broken:
+        def __getattr__(self, name):
+            raise TypeError("'JavaPackage' object is not callable")
+
+    class Session:
+        _jvm = Broken()
+
+    with pytest.raises(RuntimeError, match="ICU"):
+        L._tables_of(Session())
+    made = []
+    df = spark.createDataFrame([("ᎪᏴ",)], "value string")
+    thread = threading.Thread(target=lambda: made.extend(r["value_canonical"] for r in L.with_canonical(df, ["value"]).collect()))
+    thread.start()
+    thread.join()
+    assert made == ["AB"]
+
+
 def test_usual_characters_need_no_table():
     import re
 
